@@ -181,13 +181,13 @@ WITH RECURSIVE counts AS (
 ), lists AS (
   SELECT list(quota ORDER BY number) AS quotas, max(period) AS period FROM quota
 ), run AS (
-  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS ran, list_transform(quotas, x -> CAST(0 AS BIGINT)) AS turns FROM lists
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS ran, list_transform(quotas, lambda x: CAST(0 AS BIGINT)) AS turns FROM lists
   UNION ALL
-  SELECT slot, ran, list_transform(turns, (t, i) -> t + CASE WHEN i = ran THEN 1 ELSE 0 END) FROM (
+  SELECT slot, ran, list_transform(turns, lambda t, i: t + CASE WHEN i = ran THEN 1 ELSE 0 END) FROM (
     SELECT r.slot + 1 AS slot, r.turns,
-      CAST(list_sort(list_filter(list_transform(r.turns, (t, i) ->
+      CAST(list_sort(list_filter(list_transform(r.turns, lambda t, i:
         CASE WHEN t < l.quotas[i] AND (t * l.period) // l.quotas[i] <= r.slot + 1
-             THEN (((t + 1) * l.period + l.quotas[i] - 1) // l.quotas[i]) * 1000000 + i END), x -> x IS NOT NULL))[1] % 1000000 AS BIGINT) AS ran
+             THEN (((t + 1) * l.period + l.quotas[i] - 1) // l.quotas[i]) * 1000000 + i END), lambda x: x IS NOT NULL))[1] % 1000000 AS BIGINT) AS ran
     FROM run r, lists l WHERE r.slot + 1 < l.period) AS s
 ), plan AS (
   SELECT q.source, q.quota, q.period, r.slot, row_number() OVER (PARTITION BY q.source ORDER BY r.slot) AS turn
