@@ -57,44 +57,58 @@ class Encoder:
                 yield ids[start:end]
                 start = end
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        firsts, rests, rare = [], [], set()
-        wanted: set[str] = set()
-        for text in texts:
-            first, *rest = _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
-            firsts.append(first)
-            rests.append(rest)
-            rare.add(first)
-            wanted.update(rest)
-        cache = self._cache
-        missing = list(wanted.difference(cache))
+    def _learn(self, words: list[str]) -> list[str]:
+        """Puts the ids of words that follow a space or line end in the cache; returns those to forget again."""
+        cache, marks = self._cache, self._marks
         whole: dict[str, None] = {}
         marked: list[tuple[str, str, str]] = []
-        for word in missing:
+        new_marks: dict[str, None] = {}
+        for word in words:
             body = word.rstrip(_MARKS)
-            if body and len(body) < len(word) and max(body) < "\u0250" and body.lstrip("\n").isalpha():
+            if body and body != word and (body.isascii() or max(body) < "\u0250") and body.lstrip("\n").isalpha():
                 # Letters and the marks after them are two pieces to the pre-tokenizer.
-                marked.append((word, body, word[len(body) :]))
+                own = word[len(body) :]
+                marked.append((word, body, own))
                 if body not in cache:
                     whole[body] = None
-                if word[len(body) :] not in self._marks:
-                    rare.add(word[len(body) :])
+                if own not in marks:
+                    new_marks[own] = None
             else:
                 whole[word] = None
         cache.update(zip(whole, self._encode([w if w[:1] == "\n" else " " + w for w in whole]), strict=True))
-        rare_list = list(rare)
-        first_ids = dict(zip(rare_list, self._encode(rare_list), strict=True))
-        self._marks.update((marks, first_ids[marks]) for _, _, marks in marked if marks not in self._marks)
-        cache.update((word, cache[body] + self._marks[marks]) for word, body, marks in marked)
-        of = cache.__getitem__
-        out = [first_ids[first] + b"".join(map(of, rest)) for first, rest in zip(firsts, rests, strict=True)]
-        if len(cache) > self._most or len(self._marks) > self._most:
-            cache.clear()
+        marks.update(zip(new_marks, self._encode(list(new_marks)), strict=True))
+        cache.update((word, cache[body] + marks[own]) for word, body, own in marked)
+        return [w for w in words if len(w) > self._longest]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        get = self._cache.get
+        firsts, rests, found = [], [], []
+        missing: set[str] = set()
+        for text in texts:
+            words = _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
+            firsts.append(words[0])
+            words[0] = ""
+            got = list(map(get, words))
+            got[0] = b""
+            if None in got:
+                missing.update([w for w, ids in zip(words, got) if ids is None])
+            rests.append(words)
+            found.append(got)
+        forget = self._learn(list(missing))
+        first_ids = self._encode(firsts)
+        of = self._cache.__getitem__
+        out = []
+        for first, words, got in zip(first_ids, rests, found, strict=True):
+            if None in got:
+                got = [of(w) if ids is None else ids for w, ids in zip(words, got)]
+            got[0] = first
+            out.append(b"".join(got))
+        if len(self._cache) > self._most or len(self._marks) > self._most:
+            self._cache.clear()
             self._marks.clear()
         else:
-            for word in missing:
-                if len(word) > self._longest:
-                    del cache[word]
+            for word in forget:
+                self._cache.pop(word, None)
         return out
 
 
