@@ -14,12 +14,11 @@ From bands to links without pairs of all with all:
    middle of a group of copies) is the bucket's leader, and the others are compared
    with it: pairs grow with members, not with their square.
 3. Confirmed links give components. Buckets that lie in one component are done.
-4. For the rest, links can only run between components. Shingles that occur in
-   one document alone can't be shared, so with u of them in a set of n, two sets
-   share at most I = min(n1 - u1, n2 - u2), and their similarity is at most
-   I / (n1 + n2 - I). Classes look in their bucket, by size, only where that bound
-   allows 0.75; the pairs found are compared and the components joined. The bound is
-   exact, so no link that the bands show is lost.
+4. For the rest, links can only run between components. The classes in buckets that
+   are still open are joined on the rarest part of their sets, by an exact prefix
+   and position filter, which proves nearly all pairs of a group of copies that are too
+   far apart without forming them; the pairs left are compared and the components
+   joined. No link that the bands show is lost.
 
 Compared means: a cheap estimate by a one-byte sketch of the signature first
 (pairs under 0.55, five standard deviations below 0.75, go), then the whole sets.
@@ -34,11 +33,9 @@ other columns are not read by ``components`` and pass through ``dedup`` untouche
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import batches_of, documents, id_and_text, store
@@ -47,7 +44,6 @@ WORDS, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 LEAST_ESTIMATE = 0.55
-_SIZE_STEP = math.log(1.04)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,7 +177,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = store(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
         far = both.join(labels.select(F.col("id").alias("to"), F.col("component").alias("near")), "to").groupBy("id").agg(F.min("near").alias("near"))
-        hooked = store(labels.join(far, "id").select("id", "component", F.least("component", "near").alias("next")), "labels")
+        hooked = labels.join(far, "id").select("id", "component", F.least("component", "near").alias("next"))
         jump = hooked.select(F.col("id").alias("next"), F.col("next").alias("further"))
         new = store(hooked.join(jump, "next").select("id", F.col("component").alias("old"), F.least("next", "further").alias("component")), "labels")
         labels = new.select("id", "component")
@@ -203,14 +199,12 @@ def leader_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
 
 
-def size_class(n):
-    return F.floor(F.log(n) / _SIZE_STEP).cast("int")
-
+def prefix_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that can reach the similarity, by prefix and position; exact.
 
-def bounded_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket, in different components, whose bound of similarity allows a link.
-
-    active: (bucket, rep, comp) of buckets with several components."""
+    active: (rep, comp). Shingles are put in the order of how few of these sets hold them. Of a pair with
+    n2 <= n1 that reaches p percent, the first (1 - p) n1 + 1 of the larger and (1 - 2p / (1 + p)) n2 + 1 of the smaller
+    share a shingle, and at the first such there is room left for the overlap that p asks for."""
 
     def explode(batches):
         for batch in batches:
@@ -218,26 +212,33 @@ def bounded_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
                 tokens = np.frombuffer(own.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), rep.as_py(), np.int64)), pa.array(tokens)], names=["rep", "token"])
 
-    own = sets.join(active.select("rep").distinct(), "rep", "left_semi")
-    once = own.mapInArrow(explode, "rep long, token long").groupBy("token").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).filter("f = 1")
-    unique = once.groupBy("rep").agg(F.count("*").alias("u"))
-    sizes = own.select("rep", "n").join(unique, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u")).distinct()
-    known = store(active.join(sizes, "rep").select("bucket", "rep", "comp", "n", "u", size_class("n").alias("class")), "active")
-    # Of a pair, the larger set looks for the smaller: n2 <= n1, n2 <= I (100 + p) / p - n1 with I <= n1 - u1, n2 >= p n1 / 100.
-    most = F.least("n", F.floor((F.col("n") - F.col("u")) * (100 + PERCENT) / PERCENT) - F.col("n"))
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100))
-    asks = (
-        known.withColumn("most", most).withColumn("least", least).filter("most >= least")
-        .select("bucket", F.explode(F.sequence(size_class("least"), size_class("most"))).alias("class"), F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"))
-    )
-    shared = F.least(F.col("n_a") - F.col("u_a"), F.col("n") - F.col("u"))
+    own = sets.join(active.select("rep"), "rep", "left_semi")
+    tokens = own.mapInArrow(explode, "rep long, token long")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
+    sizes = own.join(active, "rep").select("rep", "comp", "n").distinct()
+    one = Window.partitionBy("rep")  # one document's shingles
+    nth = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("f", "token")) - 1
+    long = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    short = F.col("n") - F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT)) + 1
+    prefixes = tokens.join(shared.hint("merge"), "token").join(sizes, "rep").withColumn("i", nth).filter(F.col("i") < long)
+    prefixes = store(prefixes.select("token", "rep", "comp", "n", "i", (F.col("i") < short).alias("short")), "prefixes")
+    # A shingle's most frequent component is not compared with itself: of each pair one side is of another.
+    held = prefixes.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token")
+    held = held.agg(F.max_by("comp", "m").alias("main"), F.count("*").alias("several")).filter("several > 1").select("token", "main")
+    rows = store(prefixes.join(held.hint("merge"), "token").withColumn("other", F.col("comp") != F.col("main")).drop("main"), "prefix-rows")
+    asks = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "n", "i", "other")])
+    answers = rows.filter("short").select("token", "rep", "comp", "n", "i", "other")
+    both = F.col("n_a") + F.col("n")
     fits = (
-        (F.col("comp_a") != F.col("comp")) & ((F.col("n") < F.col("n_a")) | ((F.col("n") == F.col("n_a")) & (F.col("rep") < F.col("a"))))
-        & ((100 + PERCENT) * shared >= PERCENT * (F.col("n_a") + F.col("n")))
+        (F.col("comp_a") != F.col("comp")) & ((F.col("n") < F.col("n_a")) | ((F.col("n") == F.col("n_a")) & (F.col("rep") < F.col("rep_a"))))
+        & (100 * F.col("n") >= PERCENT * F.col("n_a"))
+        & ((100 + PERCENT) * F.least(F.col("n_a") - F.col("i_a"), F.col("n") - F.col("i")) >= PERCENT * both)
     )
-    answers = known.select("bucket", "class", "rep", "comp", "n", "u")
-    found = asks.join(answers.hint("merge"), (asks["bucket"] == answers["bucket"]) & (asks["class"] == answers["class"]) & fits)
-    return found.select("a", F.col("rep").alias("b")).distinct()
+    found = [
+        left.join(right.hint("merge"), (left["token"] == right["token"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep").alias("b"))
+        for left, right in ((asks.filter("other_a"), answers), (asks.filter("NOT other_a"), answers.filter("other")))
+    ]
+    return found[0].unionByName(found[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -257,9 +258,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = components(links)
     now = labelled(members.select("bucket", "rep"), comps)
     open_buckets = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    active = store(now.join(open_buckets, "bucket", "left_semi"), "open-buckets")
+    active = store(now.join(open_buckets, "bucket", "left_semi").select("rep", "comp").distinct(), "open-classes")
     if not active.isEmpty():
-        more = confirmed(bounded_pairs(active, sets), sketches, sets)
+        more = confirmed(prefix_pairs(active, sets), sketches, sets)
         if not more.isEmpty():
             comps = components(links.unionByName(more))
     # Several classes may have one smallest doc_id (rows of one doc_id with different texts): that is one document.
