@@ -57,24 +57,40 @@ class Encoder:
                 yield ids[start:end]
                 start = end
 
+    def _encode_letters(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words of letters after a space. Each is one piece to the pre-tokenizer, so they go as running text, which
+        is cheaper than one by one; the library numbers the pieces."""
+        for at in range(0, len(words), 64):
+            some = words[at : at + 64]
+            got = self._tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(some)), side="right")).tolist()
+            start = 0
+            for end in ends:
+                yield ids[start:end]
+                start = end
+
     def _learn(self, words: list[str]) -> list[str]:
         """Puts the ids of words that follow a space or line end in the cache; returns those to forget again."""
         cache, marks = self._cache, self._marks
+        letters: dict[str, None] = {}
         whole: dict[str, None] = {}
         marked: list[tuple[str, str, str]] = []
         new_marks: dict[str, None] = {}
         for word in words:
             body = word.rstrip(_MARKS)
-            if body and body != word and (body.isascii() or max(body) < "\u0250") and body.lstrip("\n").isalpha():
+            if body and (body.isascii() or max(body) < "\u0250") and body.lstrip("\n").isalpha():
                 # Letters and the marks after them are two pieces to the pre-tokenizer.
-                own = word[len(body) :]
-                marked.append((word, body, own))
+                if body != word:
+                    own = word[len(body) :]
+                    marked.append((word, body, own))
+                    if own not in marks:
+                        new_marks[own] = None
                 if body not in cache:
-                    whole[body] = None
-                if own not in marks:
-                    new_marks[own] = None
+                    (whole if body[0] == "\n" else letters)[body] = None
             else:
                 whole[word] = None
+        cache.update(zip(letters, self._encode_letters(list(letters)), strict=True))
         cache.update(zip(whole, self._encode([w if w[:1] == "\n" else " " + w for w in whole]), strict=True))
         marks.update(zip(new_marks, self._encode(list(new_marks)), strict=True))
         cache.update((word, cache[body] + marks[own]) for word, body, own in marked)
