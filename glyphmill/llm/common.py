@@ -54,7 +54,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
 
 
-def batches_of(batch, most_bytes: int = 4 << 20):
+def batches_of(batch, most_bytes: int = 1 << 20):
     """Slices of an Arrow batch whose text column holds about most_bytes, to bound what Python holds at once."""
     import numpy as np
     import pyarrow.compute as pc

@@ -55,7 +55,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -129,15 +129,15 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for part in batches_of(batch):
                 sets = [shingles(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["rep", "n", "shingles"],
-                )
+                sizes = [len(s) for s in sets]
+                ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+                flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), flat], names=["rep", "n", "shingles"])
 
     rows = id_and_text(docs)
     # Neither side has a bound, so this is a shuffle at every size.
     wanted = rows.join(ids.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "rep long, n long, shingles binary")
+    return wanted.mapInArrow(run, "rep long, n long, shingles array<long>")
 
 
 def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -149,26 +149,15 @@ def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
 def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole sets reach the similarity."""
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) < len(y):
-                    x, y = y, x
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
-
     left, right = (sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
     near = store(
         pairs.join(right, "b").join(left, "a").filter(F.arrow_udf(estimate, "double")("sketch_a", "sketch_b") >= LEAST_ESTIMATE).select("a", "b"), "near-pairs"
     )
     left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
     both = near.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return store(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    # Row by row in the JVM, as an Arrow batch of pairs would hold thousands of whole sets.
+    shared, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    return store(both.filter((100 + PERCENT) * shared >= PERCENT * total).select("a", "b").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,14 +195,8 @@ def prefix_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
     n2 <= n1 that reaches p percent, the first (1 - p) n1 + 1 of the larger and (1 - 2p / (1 + p)) n2 + 1 of the smaller
     share a shingle, and at the first such there is room left for the overlap that p asks for."""
 
-    def explode(batches):
-        for batch in batches:
-            for rep, own in zip(batch.column("rep"), batch.column("shingles"), strict=True):
-                tokens = np.frombuffer(own.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), rep.as_py(), np.int64)), pa.array(tokens)], names=["rep", "token"])
-
     own = sets.join(active.select("rep"), "rep", "left_semi")
-    tokens = own.mapInArrow(explode, "rep long, token long")
+    tokens = own.select("rep", F.explode("shingles").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
     sizes = own.join(active, "rep").select("rep", "comp", "n").distinct()
     one = Window.partitionBy("rep")  # one document's shingles
