@@ -116,7 +116,7 @@ def normalize_empty(value: Column) -> Column:
 def allowed_values(kind: Column) -> Column:
     """Two or more quoted literals, else two or more alternatives that aren't type names."""
     quoted = F.regexp_extract_all(kind, F.lit("[\"'`]([^\"'`]{1,40})[\"'`]"), F.lit(1))
-    parts = F.filter(F.transform(F.split(kind, r"\|"), F.trim), lambda s: s.rlike("^[A-Za-z0-9_-]{1,30}$") & ~F.lower(s).rlike(TYPE_WORDS))
+    parts = F.filter(F.transform(F.split(kind, r"\|"), lambda s: F.trim(s)), lambda s: s.rlike("^[A-Za-z0-9_-]{1,30}$") & ~F.lower(s).rlike(TYPE_WORDS))
     none = F.array().cast("array<string>")
     return (
         F.when(kind.isNull(), none)

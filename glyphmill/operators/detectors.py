@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import html_scan, numbers, text, urls
 from glyphmill.operators import json_tokens, relational, scoring
+from glyphmill.session import cut
 
 # Fixed values.
 TABS = (
@@ -179,8 +180,8 @@ def criteria(sites: DataFrame) -> DataFrame:
 
 def sites(pages: DataFrame, records: DataFrame, files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """One row a site that scoring.report takes. Bodies are left behind after one scan; the rest is joined by site."""
-    seen = read(pages)
-    comps, toks = components(seen, records), tokens(seen, files)
+    seen = cut(read(pages))
+    comps, toks = cut(components(seen, records)), cut(tokens(seen, files))
     pats = patterns(seen, pages, comps)
     utility = urls.is_utility(F.col("url"))
     tried = records.groupBy("site_id").agg(

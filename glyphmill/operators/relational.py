@@ -77,6 +77,20 @@ def usage_of(sources: DataFrame, used: DataFrame) -> DataFrame:
     return sources.join(found, "url", "left").withColumn("used_as", F.coalesce("used_as", F.array().cast("array<string>")))
 
 
+def first_evidence(rows: DataFrame, ids: str, evidence: DataFrame, name: str = "source") -> DataFrame:
+    """rows with the first source that is not null among the evidence (id, source) of their list of ids. rows need a unique column id."""
+    each = rows.select("id", F.posexplode(ids).alias("_n", "_e")).join(evidence.select(F.col("id").alias("_e"), "source"), "_e")
+    first = each.filter("source IS NOT NULL").groupBy("id").agg(F.min_by("source", "_n").alias(name))
+    return rows.join(first, "id", "left")
+
+
+def unused_names(sources: DataFrame, names: DataFrame) -> DataFrame:
+    """sources (identity, used_as, ...) with tab_of: the name (identity, name) that a page of a component belongs to, where nothing of it was used."""
+    one = names.groupBy("identity").agg(F.min("name").alias("_name"))
+    out = sources.join(one, "identity", "left")
+    return out.withColumn("tab_of", F.when(F.size("used_as") == 0, F.col("_name"))).drop("_name")
+
+
 def prefer(first: DataFrame, second: DataFrame, name: str, order: str) -> DataFrame:
     """All rows of first, and of second those whose name first lacks, each name once; a null intent of first's rows
     takes that of second's row of the same name."""

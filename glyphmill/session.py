@@ -7,8 +7,9 @@ argument and reads its settings instead of assuming local ones.
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "glyphmill", **conf: str) -> SparkSession:
@@ -28,3 +29,12 @@ def local_session(cores: int | str = "*", app: str = "glyphmill", **conf: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that spark.checkpoint.dir names, so that several readers don't repeat it and a lost executor
+    costs a reread. Only where that is unset (tests, notebooks) a local folder is taken."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glyphmill-"))
+    return df.checkpoint()
