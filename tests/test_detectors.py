@@ -70,3 +70,10 @@ def test_probe(spark):
     answers = [("a", 200, "text/plain", "# Docs"), ("a", 404, None, None), ("b", 200, "text/html", "<html>"), ("b", 404, None, None), ("c", 500, None, None)]
     df = spark.createDataFrame(answers, "site_id string, http_status int, content_type string, body string")
     assert {r.site_id: r.llms_txt for r in detectors.probe(df).collect()} == {"a": "FOUND", "b": "ABSENT", "c": "UNKNOWN"}
+
+
+def test_empty_tables(spark):
+    pages = spark.createDataFrame([], "site_id string, url string, content_type string, body string, rendered boolean")
+    records = spark.createDataFrame([], "site_id string, url string, status string")
+    files = spark.createDataFrame([], "id long, site_id string, body string")
+    assert scoring.report(detectors.sites(pages, records, files)).count() == 0
