@@ -6,7 +6,12 @@ runs in each time slot, the released one of the earliest deadline. As the weight
 sum to one, every deadline is met, so after any number of slots each source has
 had its share to within less than one block (Baruah, Cohen, Plaxton, Varvel 1996).
 
-Weights are made multiples of 1/PERIOD by largest remainders. The schedule then
+Without a period, weights are target weights to DIGITS decimals, and slots are scheduled
+up to the horizon in sections of SECTION slots that carry the turns of each source on;
+blocks after it follow by deadline. This is what the pipeline does.
+
+With a period, as ``op2_mix`` and its SQL have it, weights are made multiples of 1/PERIOD,
+each at least one, by largest remainders. The schedule then
 repeats every PERIOD slots, so it is simulated once, in an ``aggregate`` over the
 slots of a single row, and block i of a source simply finds its slot by
 arithmetic: that table has PERIOD rows whatever the corpus.
@@ -16,7 +21,7 @@ first source runs out; later slots go to the sources that still have blocks.
 
 Scale: documents are numbered within a source over (source, id range) and the counts
 of ranges, so a source with a third of all rows isn't one task; positions come
-from sums over slots in two levels. Nothing is collected.
+from sums over slots in two levels. At most a row a source is collected, for each section.
 
 Edges: null and empty sources are one source; null doc_ids come first; repeated
 rows are rows of their own; one source alone has every slot; an empty table gives
@@ -28,9 +33,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import documents
+from glyphmill.llm.common import documents, store
 
 BLOCK, PERIOD, RANGES = 16, 1000, 1024
+DIGITS, SECTION = 10, 4096
 #: Target weight of a source without a given one: the square root of its documents, which lifts small sources.
 POWER = 0.5
 
@@ -88,6 +94,80 @@ def schedule(quota: DataFrame) -> DataFrame:
     )
 
 
+def targets(counts: DataFrame, weights: dict[str, float] | None = None, power: float = POWER) -> DataFrame:
+    """counts: (source, n). (source, n, number, weight, whole): the target weight is weight / whole, both whole numbers."""
+    given = F.lit(None).cast("double")
+    if weights:
+        given = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("source")].cast("double")
+    raw = counts.withColumn("w", F.coalesce(given, F.pow(F.col("n"), F.lit(power))))
+    every = Window.partitionBy()
+    ordered = every.orderBy("source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(ordered) * 10**DIGITS).cast("long")).cast("long")
+    return raw.withColumn("weight", share).select("source", "n", F.row_number().over(every.orderBy("source")).alias("number"), "weight", F.sum("weight").over(every).alias("whole"))
+
+
+def sections(target: DataFrame, block: int = BLOCK, section: int = SECTION) -> tuple[DataFrame, int]:
+    """(number, turn, slot) of the slots before the horizon, and the horizon."""
+    spark = target.sparkSession
+    rows = target.orderBy("number").collect()
+    blocks = [-(-x["n"] // block) for x in rows]
+    turns, at, horizon, done = [0] * len(rows), 0, None, None
+    sources = F.array(*[F.struct(F.lit(x["number"]).alias("number"), F.lit(x["weight"]).cast("long").alias("weight")) for x in rows])
+    whole = F.lit(rows[0]["whole"]).cast("long") if rows else None
+
+    def step(state: Column, slot: Column) -> Column:
+        def candidate(x: Column) -> Column:
+            turn = F.element_at(state["turns"], x["number"])
+            # floor(turn / w) <= slot and ceil((turn + 1) / w) in whole numbers: long division, as doubles are too short.
+            released = turn * whole < (slot + 1) * x["weight"]
+            deadline = F.call_function("div", (turn + 1) * whole + x["weight"] - 1, x["weight"])
+            return F.when(released, F.struct(deadline.alias("deadline"), x["number"].alias("number")))
+
+        ran = F.array_min(F.transform(F.col("all"), candidate))["number"]
+        return F.struct(
+            F.transform(state["turns"], lambda t, k: t + (k + 1 == ran).cast("long")).alias("turns"),
+            F.concat(state["ran"], F.array(F.struct(ran.alias("number"), (F.element_at(state["turns"], ran) + 1).alias("turn"), slot.alias("slot")))).alias("ran"),
+        )
+
+    while rows and horizon is None:
+        start = F.struct(F.array(*[F.lit(t).cast("long") for t in turns]).alias("turns"), F.array().cast("array<struct<number:int,turn:bigint,slot:bigint>>").alias("ran"))
+        slots = F.sequence(F.lit(at).cast("long"), F.lit(at + section - 1).cast("long"))
+        one = spark.range(1, numPartitions=1).select(sources.alias("all")).select(F.aggregate(slots, start, step).alias("s")).select("s.*")
+        one = store(one, "slots")
+        ran = one.select(F.inline("ran"))
+        turns = one.first()["turns"]
+        if any(t > b for t, b in zip(turns, blocks, strict=True)):
+            last = F.element_at(F.array(*[F.lit(b).cast("long") for b in blocks]), F.col("number"))
+            horizon = ran.filter(F.col("turn") > last).agg(F.min("slot").alias("h")).first()["h"]
+            ran = ran.filter(F.col("slot") < horizon)
+        done = ran if done is None else done.unionByName(ran)
+        at += section
+    return (spark.createDataFrame([], "number int, turn long, slot long") if done is None else done), horizon or 0
+
+
+def mixed_exactly(rows: DataFrame, counts: DataFrame, weights: dict[str, float] | None, power: float, block: int) -> DataFrame:
+    """rows with _gm_block, _gm_in_block, _gm_slot and _gm_horizon by the target weights themselves."""
+    target = store(targets(counts, weights, power), "targets")
+    table, horizon = sections(target, block)
+    slots = table.join(F.broadcast(target.select("number", "source")), "number").select(
+        F.col("source").alias("_gm_s"), (F.col("turn") - 1).alias("_gm_b"), F.col("slot").alias("_gm_slot")
+    )
+    own = target.select(F.col("source").alias("_gm_q"), "number", "weight", "whole", F.count("*").over(Window.partitionBy()).alias("sources"))
+    # Left over, a block's deadline is over the horizon; each has a number of its own, in order of deadlines.
+    deadline = F.call_function("div", (F.col("_gm_block") + 1) * F.col("whole") + F.col("weight") - 1, F.col("weight"))
+    later = F.lit(horizon) + (deadline - 1 - horizon) * F.col("sources") + F.col("number") - 1
+    return (
+        numbered(rows, "_gm_source", ["_gm_id"])
+        .withColumn("_gm_block", F.floor(F.col("_gm_nth") / block))
+        .withColumn("_gm_in_block", F.col("_gm_nth") % block)
+        .join(F.broadcast(own), F.col("_gm_source") == F.col("_gm_q"))
+        .join(slots, (F.col("_gm_source") == F.col("_gm_s")) & (F.col("_gm_block") == F.col("_gm_b")), "left")
+        .withColumn("_gm_slot", F.coalesce("_gm_slot", later))
+        .withColumn("_gm_horizon", F.lit(horizon).cast("long"))
+        .drop("_gm_id", "_gm_q", "_gm_s", "_gm_b", "_gm_nth", "number", "weight", "whole", "sources")
+    )
+
+
 def numbered(df: DataFrame, key: str, order: list[str], ranges: int = RANGES) -> DataFrame:
     """Adds _gm_nth: 0, 1, ... within key, in ascending order. Rows are sorted in (key, range of order[0]) only; the
     ranges cut the span of that column evenly, and their counts give the rest."""
@@ -111,12 +191,14 @@ def numbered(df: DataFrame, key: str, order: list[str], ranges: int = RANGES) ->
 
 
 def mixed(
-    docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, block: int = BLOCK, period: int = PERIOD, carry: bool = True
+    docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, block: int = BLOCK, period: int | None = None, carry: bool = True
 ) -> DataFrame:
     """docs with _gm_source, _gm_block (from 0), _gm_in_block, _gm_slot and _gm_horizon. carry: with all columns, or doc_id alone."""
     kept = docs if carry else docs.select("doc_id", "source")
     rows = kept.withColumn("_gm_source", F.coalesce(F.col("source"), F.lit(""))).withColumn("_gm_id", F.col("doc_id").cast("long"))
     counts = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
+    if period is None:
+        return mixed_exactly(rows, counts, weights, power, block)
     plan = schedule(quotas(counts, weights, power, period))
     # The slot at which the first source has no block left: after its last block's turn, the slot of the next.
     last = F.ceil(F.col("n") / block)
@@ -161,7 +243,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(documents(spark, sf_dir))
+    return mix_report(documents(spark, sf_dir), period=PERIOD)
 
 
 ORACLE = f"""
