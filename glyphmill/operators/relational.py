@@ -112,14 +112,16 @@ def source_log(events: DataFrame) -> DataFrame:
 def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
     """pages (site_id, id, text) and names (site_id, name): which names, alone or with a plural s, a text has as words.
 
-    Texts are cut in runs of up to as many words as the longest name has and joined on equality, so that neither side is
+    Texts are cut in runs of as many words as names have and joined on equality, so that neither side is
     looped over."""
     low = names.select("site_id", F.lower("name").alias("name")).filter(F.length("name") >= 3).distinct()
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda w: w != "")
     name_words = F.array_join(F.filter(F.split("name", "[^a-z0-9_]+"), lambda w: w != ""), " ")
     known = low.withColumn("phrase", name_words).withColumn("n", F.size(F.split("phrase", " ")))
-    sizes = F.sequence(F.lit(1), F.lit(4))
-    runs = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))))
-    grams = pages.select("site_id", "id", words.alias("w")).select("site_id", "id", F.explode(F.array_distinct(runs)).alias("phrase"))
+    # The numbers of words that occur: one row.
+    sizes = known.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
+    runs = F.flatten(F.transform("sizes", lambda k: F.when(k <= F.size("w"), run(F.least(k, F.size("w")))).otherwise(F.array().cast("array<string>"))))
+    grams = pages.select("site_id", "id", words.alias("w")).filter(F.size("w") > 0).join(F.broadcast(sizes)).select("site_id", "id", F.explode(F.array_distinct(runs)).alias("phrase"))
     either = grams.select("site_id", "id", F.explode(F.array_distinct(F.array("phrase", F.regexp_replace("phrase", "s$", "")))).alias("phrase"))
-    return either.join(known.filter("n <= 4"), ["site_id", "phrase"]).groupBy("site_id", "id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return either.join(known, ["site_id", "phrase"]).groupBy("site_id", "id").agg(F.sort_array(F.collect_set("name")).alias("names"))
