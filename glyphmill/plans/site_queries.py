@@ -16,9 +16,9 @@ def _t(spark, sf, name):
 
 
 def _sites(spark, sf):
-    """Every host of pages as a site; each seventh page counts as one that failed."""
+    """Every host of pages as a site; a page without html counts as one that failed."""
     p = _t(spark, sf, "pages").withColumn("site_id", urls.host(F.col("url"))).filter("site_id IS NOT NULL")
-    failed = F.col("page_id") % 7 == 0
+    failed = F.col("html").isNull()
     read = p.filter(~failed).select("site_id", "url", F.lit("text/html").alias("content_type"), F.col("html").alias("body"), F.lit(False).alias("rendered"))
     records = p.select("site_id", "url", F.when(failed, "FAILED").otherwise("CRAWLED").alias("status"))
     return detectors.sites(read, records, spark.createDataFrame([], "id long, site_id string, body string"))

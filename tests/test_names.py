@@ -1,6 +1,7 @@
 """Names of any number of words in texts, and sites whose pages are all read."""
 
-from glyphmill.operators import relational
+from glyphmill.operators import detectors, relational
+from glyphmill.plans import site_queries
 
 
 def test_mentions_of_long_names(spark):
@@ -9,3 +10,12 @@ def test_mentions_of_long_names(spark):
     got = {r.id: r.names for r in relational.mentions(pages, names).collect()}
     assert got == {1: ["button", "date range picker", "date range picker with presets"], 2: ["date range picker"]}
     assert relational.mentions(pages, names.limit(0)).count() == 0
+
+
+def test_sites_read_every_page_with_html(spark, tmp_path, monkeypatch):
+    rows = [(k, f"https://a.example/p{k}", None if k == 3 else "<p>x</p>") for k in range(15)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(detectors, "sites", lambda read, records, files: (read, records))
+    read, records = site_queries._sites(spark, str(tmp_path))
+    assert {r.url for r in read.collect()} == {u for k, u, _ in rows if k != 3}
+    assert [r.url for r in records.filter("status = 'FAILED'").collect()] == ["https://a.example/p3"] and records.count() == 15
