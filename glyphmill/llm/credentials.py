@@ -36,10 +36,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGNED = 8
 
-#: Contexts of the method; a value ends at white space, a quote, a comma, a semicolon or a bracket.
+_LONG = r"password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential"
+_SHORT = r"(?:(?<![A-Za-z])(?ai:pin|auth|login)|(?<=[a-z0-9])(?:Pin|Auth|Login))(?![a-z])"
+#: Contexts of the method: names that hold a keyword, with whatever before and after it (short keywords only as a part of
+#: their own: auth_token, userPin, not author), and before "is" names that end with one. A value ends at white space, a quote,
+#: a comma, a semicolon or a bracket.
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:password|passwd|passphrase|passcode|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|login))"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([^\s"',;()<>\[\]{}]{4,})"""
+    rf"""(?:(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?:(?ai:{_LONG})|{_SHORT}))[A-Za-z0-9_.-]++["']?\x20*[:=]\x20*"""
+    rf"""|(?<![A-Za-z0-9])(?ai:(?:{_LONG})|credentials|pin|auth|login)["']?\x20+is\x20+)["']?([^\s"',;()<>\[\]{{}}]{{4,}})"""
 )
 THRESHOLD = 8.0
 LONGEST = 32
