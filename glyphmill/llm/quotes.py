@@ -4,9 +4,11 @@ Lines that begin with ``>`` marks are quotes of the level that counts the marks.
 Consecutive lines of one level make a passage. A passage and, if it has several
 lines, each of its lines are normalised (marks off, white space collapsed, lower
 case) and hashed; so are the paragraphs and lines that messages say themselves. A
-message's *parent* is the message that first said what it quotes at level 1: in
-its own conversation if one did so before it, else in any earlier conversation.
-Of several parents the one whose quotes match most often counts, then the latest.
+message's *parent* is the message that first said what it quotes: in its own
+conversation if one did so before it, else in any earlier conversation. The
+shallowest level with a match counts, so deeper quotes link messages whose reply in
+between was trimmed or never stored. Of several parents at that level the one whose
+quotes match most often counts, then the latest.
 
 Replies are ordered below the message that they go back to: by thread, the root's
 turn, depth, conversation and turn. The text that is returned has no quotes.
@@ -18,9 +20,9 @@ table a round, so their number grows with the logarithm of the longest chain; me
 without replies in them take no round. Sorting is by range of the whole key.
 
 Edges: a null text has no line and an empty body; short units (under LEAST
-characters) link nothing; messages never link to later ones or themselves, so
-there are no cycles; rows of one (conv_id, turn) are one message with the smallest
-text; rows with a null conv_id or turn link nothing and are their own roots; an empty
+characters) link only within their conversation; messages never link to later ones or themselves, so
+there are no cycles; rows of one (conv_id, turn) are one message in the tree, linked by
+the quotes of all of them, and every distinct text of it is kept as a row; rows with a null conv_id or turn link nothing and are their own roots; an empty
 table gives no row; other columns are not read.
 """
 
@@ -73,27 +75,27 @@ def normalised(lines: list[str]) -> str:
     return " ".join(" ".join(lines).lower().split())
 
 
-def units(text: str) -> list[tuple[int, bytes]]:
-    """(level, hash) of every passage and of every line of longer passages."""
+def units(text: str) -> list[tuple[int, bytes, bool]]:
+    """(level, hash, whether it is long enough for other conversations) of every passage and of every line of longer passages."""
     import xxhash
 
     out = []
     for level, lines in split_levels(text):
         for unit in [lines] + ([[line] for line in lines] if len(lines) > 1 else []):
             words = normalised(unit)
-            if len(words) >= LEAST:
-                out.append((level, xxhash.xxh3_128_digest(words)))
+            if words:
+                out.append((level, xxhash.xxh3_128_digest(words), len(words) >= LEAST))
     return out
 
 
-PARSED = "conv_id long, turn long, role string, body string, max_level int, n_quotes long, units array<struct<level:int,hash:binary>>"
+PARSED = "conv_id long, turn long, role string, body string, max_level int, n_quotes long, units array<struct<level:int,hash:binary,wide:boolean>>"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary())]))
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("wide", pa.bool_())]))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), kind]
         names = ["conv_id", "turn", "role", "body", "max_level", "n_quotes", "units"]
         for batch in batches:
@@ -102,7 +104,7 @@ def parsed(messages: DataFrame) -> DataFrame:
                 for conv, turn, role, text in zip(*(batch.slice(at, 1024).column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
                     text = text or ""
                     levels = [level for level, _ in split_levels(text) if level]
-                    own = [{"level": level, "hash": h} for level, h in units(text)]
+                    own = [{"level": level, "hash": h, "wide": wide} for level, h, wide in units(text)]
                     rows.append((conv, turn, role, body_of(text), max(levels, default=0), len(levels), own))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -113,26 +115,26 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def parents(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_conv, parent_turn, n_matches) of messages whose level-1 quotes have an earlier sayer."""
+    """(conv_id, turn, parent_conv, parent_turn, n_matches) of messages whose quotes have an earlier sayer, at the shallowest level that has."""
     each = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("units").alias("x"))
-    each = each.select("conv_id", "turn", F.col("x.level").alias("level"), F.col("x.hash").alias("hash"))
-    said, quoted = each.filter("level = 0"), each.filter("level = 1").distinct()
+    each = each.select("conv_id", "turn", F.col("x.level").alias("level"), F.col("x.hash").alias("hash"), F.col("x.wide").alias("wide"))
+    said, quoted = each.filter("level = 0"), each.filter("level > 0").distinct()
     here = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("own_turn"))
     first = F.min(F.struct("conv_id", "turn"))
-    anywhere = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn")).groupBy("hash").agg(first.alias("f"))
+    anywhere = said.filter("wide").groupBy("hash", "conv_id").agg(F.min("turn").alias("turn")).groupBy("hash").agg(first.alias("f"))
     anywhere = anywhere.select("hash", F.col("f.conv_id").alias("far_conv"), F.col("f.turn").alias("far_turn"))
     asked = quoted.join(here, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
     near = F.col("own_turn") < F.col("turn")
     far = F.col("far_conv") < F.col("conv_id")
     return (
         asked.select(
-            "conv_id", "turn",
+            "conv_id", "turn", "level",
             F.when(near, F.col("conv_id")).when(far, F.col("far_conv")).alias("parent_conv"),
             F.when(near, F.col("own_turn")).when(far, F.col("far_turn")).alias("parent_turn"),
         )
         .filter("parent_conv IS NOT NULL")
-        .groupBy("conv_id", "turn", "parent_conv", "parent_turn").agg(F.count("*").alias("n"))
-        .groupBy("conv_id", "turn").agg(F.max(F.struct("n", "parent_conv", "parent_turn")).alias("p"))
+        .groupBy("conv_id", "turn", "level", "parent_conv", "parent_turn").agg(F.count("*").alias("n"))
+        .groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("up"), "n", "parent_conv", "parent_turn")).alias("p"))
         .select("conv_id", "turn", "p.parent_conv", "p.parent_turn", F.col("p.n").alias("n_matches"))
     )
 
@@ -159,8 +161,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     n_matches, n_quotes, max_level)."""
     rows = parsed(messages)
     known = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    # Repeated rows of a message: the smallest text stands for them.
-    once = known.groupBy("conv_id", "turn").agg(F.min(F.struct("body", "role", "max_level", "n_quotes", "units")).alias("m")).select("conv_id", "turn", "m.*")
+    # Repeated rows of a message count once; texts that differ stay.
+    once = known.distinct()
     table = store(once.unionByName(rows.filter("conv_id IS NULL OR turn IS NULL")), "messages")
     links = store(parents(table), "reply-links")
     out = table.drop("units").join(links, ["conv_id", "turn"], "left").join(roots(links), ["conv_id", "turn"], "left")
