@@ -5,6 +5,10 @@ Lineage is cut by writing a Parquet table in the folder that
 ``spark.checkpoint.dir`` names, so a lost executor costs a reread and nothing
 else. Only where that setting is missing (tests, notebooks) a local folder is
 made and set as the checkpoint directory.
+
+What is read more than once, but not from round to round, is kept on the executors' own
+disks by ``keep``: it is not cut off from its lineage, so Spark computes again what a lost
+executor held. ``release`` frees what is kept, for a job that goes on to something else.
 """
 
 from __future__ import annotations
@@ -12,9 +16,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_KEPT: list[DataFrame] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that the driver and all executors share."""
@@ -33,10 +40,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return the table."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # A table that is not whole is never read, as its write raises; so it needs no marker file.
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks."""
+    _KEPT.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def release() -> None:
+    """Frees all that is kept; frames made of it still work, by computing it again."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -54,6 +74,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
 
 
+def strings(column) -> list[str | None]:
+    """The values of an Arrow column of strings or bytes; several times as fast as to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def batches_of(batch, most_bytes: int = 1 << 20):
     """Slices of an Arrow batch whose text column holds about most_bytes, to bound what Python holds at once."""
     import numpy as np

@@ -10,7 +10,7 @@ File format (all numbers little-endian)::
 
 The masked checksum of bytes is ``rot17(crc32) + 0xA282EAD8``, so that a checksum
 stored among data doesn't look like that data's own. Ids take 16 bits in
-vocabularies that allow it.
+vocabularies of at most 65,536 ids, else 32; every record says which.
 
 Scale: documents are range-partitioned by doc_id once (the only shuffle of
 texts); each task streams its range into shards of a bounded size in the
@@ -158,7 +158,8 @@ def write_records(docs: DataFrame, vocabulary: str, shard_bytes: int = SHARD_BYT
         import pyarrow as pa
         from pyspark import TaskContext
 
-        out = ShardWriter(folder, TaskContext.get().partitionId(), short=True, most=shard_bytes)
+        short = tokens.encoder(vocabulary).size <= 1 << 16
+        out = ShardWriter(folder, TaskContext.get().partitionId(), short, most=shard_bytes)
         for part, ids in tokens.encoded(batches, vocabulary):
             for doc_id, own in zip(part.column("doc_id").to_pylist(), ids, strict=True):
                 out.add(doc_id, own + end)
