@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm.common import batches_of, documents, id_and_text
+from glyphmill.llm.common import batches_of, documents, id_and_text, strings
 
 # Fixed values of the base patterns.
 KINDS = ("assign", "access", "hex")
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             for part in batches_of(batch):
                 rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), strings(part.column("text")), strict=True):
                     base, spans = spans_of(text, threshold)
                     n = [sum(s[2] == kind for s in base) for kind in KINDS]
                     rows.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))

@@ -5,16 +5,18 @@ lower-cased; only keys of at least LEAST code points count. Every key is a
 128-bit hash. ``LineRuns`` keeps, in the shared folder, runs sorted by hash: one
 row a key with the number of documents it adds and the largest doc_id of those.
 
-* ``add(batch)`` counts the batch's keys, merge-anti-joins them with the runs
-  (keys that no run has are *new*), and writes the batch's own run, in which
-  ``new`` tells first sightings from repeats.
+* ``add(batch)`` counts the batch's keys and merge-anti-joins them with the runs: a key that
+  no run has is *new*, and the batch's largest doc_id with it is its first holder, for good.
+  The batch's own run has its new keys with their first holders, and what it adds to the
+  counts of older keys, without one.
 * After FANOUT runs on a level, they are merged into one run of the next level.
 
-A stream of batches can thus ask for lines not seen before at the cost of one
-merge join with a logarithmic number of runs. The table query adds the documents in
-BATCHES batches of descending doc_id, so the holder of a line (the largest
-doc_id) is in the first run that has it, sums the runs, and drops lines whose
-key is in LEAST_DOCUMENTS documents from all but their holder.
+All runs are hash-partitioned by key in the same way and sorted by it, so joins and merges
+of runs take no exchange and no sort: only a new batch's keys are shuffled. A
+stream of batches thus costs one merge join with a logarithmic number of runs each. The
+table query adds the documents in BATCHES batches of descending doc_id, so that
+the first sighting is the largest doc_id, merges the runs, and drops lines whose key is in
+LEAST_DOCUMENTS documents from all but their holder.
 
 Scale: per line, 24 bytes are shuffled; counts are summed per task first; the
 join that a very frequent key skews is a plain sort-merge join, which adaptive
@@ -34,7 +36,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, documents, new_path, store, text_or_empty
+from glyphmill.llm.common import batches_of, documents, keep, shuffle_partitions, store, strings, text_or_empty
 
 # Fixed values of the contract.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -68,7 +70,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in batches_of(batch):
                 ids, keys = [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), strings(part.column("text")), strict=True):
                     own = set(keys_of(text))
                     own.discard(None)
                     ids += [doc_id] * len(own)
@@ -80,30 +82,27 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs of (key, n, holder, new) in the shared folder."""
+    """Levelled sorted runs of (key, n, holder, new, first): documents, the largest of them, whether no older run has the key, and
+    the largest document of the batch in which that was so (null: an older run has it)."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self._spark, self._fanout = spark, fanout
+        self._parts, self._fanout = shuffle_partitions(spark), fanout
         self._levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self._levels for run in level]
 
-    def _write(self, df: DataFrame) -> DataFrame:
-        return store(df.repartition("key").sortWithinPartitions("key"), "line-run")
-
     def add(self, keys: DataFrame) -> DataFrame:
         """keys: (doc_id, key), distinct. Returns the batch's own run; its new rows are keys not seen before."""
-        own = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
-        seen = self.runs()
-        if seen:
-            known = reduce(DataFrame.unionByName, [run.filter("new").select("key") for run in seen])
-            own = store(own, "line-batch")
-            fresh = own.join(known.hint("merge"), "key", "left_anti").withColumn("new", F.lit(True))
-            again = own.join(known.hint("merge"), "key", "left_semi").withColumn("new", F.lit(False))
-            run = self._write(fresh.unionByName(again))
+        dealt = keys.repartition(self._parts, "key").groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
+        own = keep(dealt.sortWithinPartitions("key"))
+        fresh = own
+        for run in self.runs():
+            fresh = fresh.join(run.select("key").hint("merge"), "key", "left_anti")
+        if self._levels:
+            run = keep(own.join(fresh.select("key", F.col("holder").alias("first")).hint("merge"), "key", "left").withColumn("new", F.col("first").isNotNull()))
         else:
-            run = self._write(own.withColumn("new", F.lit(True)))
+            run = own.withColumn("first", F.col("holder")).withColumn("new", F.lit(True))
         self._put(run, 0)
         return run
 
@@ -113,19 +112,22 @@ class LineRuns:
         self._levels[level].append(run)
         if len(self._levels[level]) >= self._fanout:
             merged, self._levels[level] = self._merged(self._levels[level]), []
-            self._put(self._write(merged), level + 1)
+            self._put(keep(merged), level + 1)
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        return (
-            reduce(DataFrame.unionByName, runs)
-            .groupBy("key")
-            .agg(F.sum("n").alias("n"), F.max("holder").alias("holder"), F.bool_or("new").alias("new"))
-        )
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            more = b.select("key", *[F.col(c).alias(f"{c}_b") for c in ("n", "holder", "new", "first")])
+            return a.join(more.hint("merge"), "key", "full").select(
+                "key", (F.coalesce("n", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n"), F.greatest("holder", "holder_b").alias("holder"),
+                (F.coalesce("new", F.lit(False)) | F.coalesce("new_b", F.lit(False))).alias("new"), F.coalesce("first", "first_b").alias("first"),
+            )
+
+        return reduce(two, runs)
 
     def counts(self) -> DataFrame:
-        """(key, n documents, holder) over all batches."""
-        return self._merged(self.runs()).select("key", "n", "holder")
+        """(key, n documents, holder, first) over all batches."""
+        return self._merged(self.runs()).select("key", "n", "holder", "first")
 
 
 def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
@@ -141,14 +143,12 @@ def dropped_keys(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, batche
     of_batch = F.lit(0)
     for bound in bounds:
         of_batch = of_batch + (F.col("doc_id") >= bound).cast("int")
-    # Rows of one doc_id may lie in several tasks, and are one document.
-    path = new_path(spark, "line-keys")
-    line_keys(docs).withColumn("batch", of_batch).write.partitionBy("batch").parquet(path)
-    hashed = spark.read.schema("doc_id long, key binary, batch int").parquet(path)
+    hashed = keep(line_keys(docs))
     runs = LineRuns(spark)
     for k in range(len(bounds), -1, -1):
-        runs.add(hashed.filter(F.col("batch") == k).select("doc_id", "key").distinct())
-    frequent = store(runs.counts().filter(F.col("n") >= least_documents).select("key", "holder"), "frequent-lines")
+        # Rows of one doc_id may lie in several tasks, and are one document.
+        runs.add(hashed.filter(of_batch == k).distinct())
+    frequent = store(runs.counts().filter(F.col("n") >= least_documents).select("key", F.col("first").alias("holder")), "frequent-lines")
     return (
         hashed.join(frequent.hint("merge"), "key")
         .filter(F.col("doc_id") != F.col("holder"))
@@ -162,7 +162,7 @@ def _with_dropped(docs: DataFrame, least_documents: int, batches: int) -> DataFr
     gone = dropped_keys(docs, least_documents, batches).select(F.col("doc_id").alias("_gm_id"), F.col("keys").alias("_gm_keys"))
     own = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
     # Not a broadcast, whose size would follow the corpus; a document's keys are one row.
-    return docs.join(gone.hint("shuffle_hash"), own == gone["_gm_id"], "left").drop("_gm_id")
+    return docs.join(gone.hint("merge"), own == gone["_gm_id"], "left").drop("_gm_id")
 
 
 def kept_lines(text: str, gone: set[bytes]) -> tuple[str, int, int]:
@@ -184,7 +184,7 @@ def dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, batches: int
 
         for batch in arrow:
             for part in batches_of(batch):
-                texts = part.column(at).to_pylist()
+                texts = strings(part.column(at))
                 keys = part.column(part.num_columns - 1).to_pylist()
                 new = [t if t is None or not k else kept_lines(t, set(k))[0] for t, k in zip(texts, keys, strict=True)]
                 columns = [pa.array(new, pa.string()) if k == at else c for k, c in enumerate(part.columns[:-1])]
@@ -208,7 +208,7 @@ def line_report(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, batches
         for batch in arrow:
             for part in batches_of(batch):
                 rows = []
-                for doc_id, text, keys in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "_gm_keys")), strict=True):
+                for doc_id, text, keys in zip(part.column("doc_id").to_pylist(), strings(part.column("text")), part.column("_gm_keys").to_pylist(), strict=True):
                     kept, lines, gone = kept_lines(text, set(keys or ()))
                     rows.append((doc_id, lines, gone, hashlib.sha256(kept.encode()).hexdigest()))
                 names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]

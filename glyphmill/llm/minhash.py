@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, documents, id_and_text, store
+from glyphmill.llm.common import batches_of, documents, id_and_text, keep, store, strings
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 64, 4
@@ -106,7 +106,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in batches_of(batch):
-                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                sets = [shingles(t) for t in strings(part.column("text"))]
                 signatures = np.stack([signature(s) for s in sets])
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 flat = pa.array(bands(signatures).ravel())
@@ -128,7 +128,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in batches_of(batch):
-                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                sets = [shingles(t) for t in strings(part.column("text"))]
                 sizes = [len(s) for s in sets]
                 ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
                 flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
@@ -136,13 +136,13 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     rows = id_and_text(docs)
     # Neither side has a bound, so this is a shuffle at every size.
-    wanted = rows.join(ids.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    wanted = rows.join(ids.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     return wanted.mapInArrow(run, "rep long, n long, shingles array<long>")
 
 
 def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
     """Similarity from two sketches: equal bytes, less those equal by chance."""
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), 2 * PERMUTATIONS) for v in (a, b))
+    x, y = (np.frombuffer(b"".join(strings(v)), np.uint8).reshape(len(v), 2 * PERMUTATIONS) for v in (a, b))
     return pa.array(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
 
 
@@ -150,9 +150,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
     """Those of pairs (a, b) whose whole sets reach the similarity."""
 
     left, right = (sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
-    near = store(
-        pairs.join(right, "b").join(left, "a").filter(F.arrow_udf(estimate, "double")("sketch_a", "sketch_b") >= LEAST_ESTIMATE).select("a", "b"), "near-pairs"
-    )
+    near = keep(pairs.join(right, "b").join(left, "a").filter(F.arrow_udf(estimate, "double")("sketch_a", "sketch_b") >= LEAST_ESTIMATE).select("a", "b"))
     left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
     both = near.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     # Row by row in the JVM, as an Arrow batch of pairs would hold thousands of whole sets.
@@ -163,7 +161,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ends of links (a, b): the smallest id that each can reach."""
     both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
-    labels = store(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    labels = keep(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:
         far = both.join(labels.select(F.col("id").alias("to"), F.col("component").alias("near")), "to").groupBy("id").agg(F.min("near").alias("near"))
         hooked = labels.join(far, "id").select("id", "component", F.least("component", "near").alias("next"))
@@ -204,7 +202,7 @@ def prefix_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
     long = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     short = F.col("n") - F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT)) + 1
     prefixes = tokens.join(shared.hint("merge"), "token").join(sizes, "rep").withColumn("i", nth).filter(F.col("i") < long)
-    prefixes = store(prefixes.select("token", "rep", "comp", "n", "i", (F.col("i") < short).alias("short")), "prefixes")
+    prefixes = keep(prefixes.select("token", "rep", "comp", "n", "i", (F.col("i") < short).alias("short")))
     # A shingle's most frequent component is not compared with itself: of each pair one side is of another.
     held = prefixes.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token")
     held = held.agg(F.max_by("comp", "m").alias("main"), F.count("*").alias("several")).filter("several > 1").select("token", "main")
@@ -226,16 +224,16 @@ def prefix_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    rows = store(signed(docs), "signatures")
+    rows = keep(signed(docs))
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = store(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = keep(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     heads = usable.join(classes, "set_key").filter("doc_id = rep")
     entries = heads.select("rep", F.explode("bands").alias("bucket"))
     several = entries.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    members = store(entries.join(several.select("bucket", "size"), "bucket").distinct(), "buckets")
-    degrees = store(members.groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
-    sketches = store(heads.select("rep", "sketch").join(degrees.select("rep"), "rep", "left_semi"), "sketches")
-    sets = store(shingle_sets(docs, degrees), "sets")
+    members = keep(entries.join(several.select("bucket", "size"), "bucket").distinct())
+    degrees = keep(members.groupBy("rep").agg(F.sum("size").alias("degree")))
+    sketches = keep(heads.select("rep", "sketch").join(degrees.select("rep"), "rep", "left_semi"))
+    sets = keep(shingle_sets(docs, degrees))
 
     links = confirmed(leader_pairs(members.join(degrees, "rep")), sketches, sets)
     comps = components(links)
@@ -263,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the one document of each component that has the smallest doc_id."""
     gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gm_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["_gm_id"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gm_id"], "left_anti")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

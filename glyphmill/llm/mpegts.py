@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm.common import batches_of, documents, id_and_text, store
+from glyphmill.llm.common import batches_of, documents, id_and_text, store, strings
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, PMT_PID, MEDIA_PID = 188, 0x47, 0x0000, 0x1000, 0x0100
@@ -231,7 +231,7 @@ def with_media(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in batches_of(batch):
-                stored = [payload_of(t) for t in part.column("text").to_pylist()]
+                stored = [payload_of(t) for t in strings(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([n for n, _ in stored], pa.int64()), pa.array([mux(p) for _, p in stored], pa.binary())],
                     names=["doc_id", "n_bytes", "media"],
