@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, documents, id_and_text, keep, store, strings
+from glyphmill.llm.common import batches_of, documents, id_and_text, store, strings, trim
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 64, 4
@@ -118,6 +118,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     ],
                     names=["doc_id", "n", "set_key", "bands", "sketch"],
                 )
+        trim()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n long, set_key binary, bands array<long>, sketch binary")
 
@@ -133,6 +134,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
                 flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), flat], names=["rep", "n", "shingles"])
+        trim()
 
     rows = id_and_text(docs)
     # Neither side has a bound, so this is a shuffle at every size.
@@ -150,7 +152,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
     """Those of pairs (a, b) whose whole sets reach the similarity."""
 
     left, right = (sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
-    near = keep(pairs.join(right, "b").join(left, "a").filter(F.arrow_udf(estimate, "double")("sketch_a", "sketch_b") >= LEAST_ESTIMATE).select("a", "b"))
+    near = store(pairs.join(right, "b").join(left, "a").filter(F.arrow_udf(estimate, "double")("sketch_a", "sketch_b") >= LEAST_ESTIMATE).select("a", "b"), "near-pairs")
     left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
     both = near.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     # Row by row in the JVM, as an Arrow batch of pairs would hold thousands of whole sets.
@@ -161,7 +163,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ends of links (a, b): the smallest id that each can reach."""
     both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
-    labels = keep(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")))
+    labels = store(both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
         far = both.join(labels.select(F.col("id").alias("to"), F.col("component").alias("near")), "to").groupBy("id").agg(F.min("near").alias("near"))
         hooked = labels.join(far, "id").select("id", "component", F.least("component", "near").alias("next"))
@@ -202,7 +204,7 @@ def prefix_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
     long = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     short = F.col("n") - F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT)) + 1
     prefixes = tokens.join(shared.hint("merge"), "token").join(sizes, "rep").withColumn("i", nth).filter(F.col("i") < long)
-    prefixes = keep(prefixes.select("token", "rep", "comp", "n", "i", (F.col("i") < short).alias("short")))
+    prefixes = store(prefixes.select("token", "rep", "comp", "n", "i", (F.col("i") < short).alias("short")), "prefixes")
     # A shingle's most frequent component is not compared with itself: of each pair one side is of another.
     held = prefixes.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token")
     held = held.agg(F.max_by("comp", "m").alias("main"), F.count("*").alias("several")).filter("several > 1").select("token", "main")
@@ -224,16 +226,16 @@ def prefix_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    rows = keep(signed(docs))
+    rows = store(signed(docs), "signatures")
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = keep(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    classes = store(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     heads = usable.join(classes, "set_key").filter("doc_id = rep")
     entries = heads.select("rep", F.explode("bands").alias("bucket"))
     several = entries.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    members = keep(entries.join(several.select("bucket", "size"), "bucket").distinct())
-    degrees = keep(members.groupBy("rep").agg(F.sum("size").alias("degree")))
-    sketches = keep(heads.select("rep", "sketch").join(degrees.select("rep"), "rep", "left_semi"))
-    sets = keep(shingle_sets(docs, degrees))
+    members = store(entries.join(several.select("bucket", "size"), "bucket").distinct(), "buckets")
+    degrees = store(members.groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
+    sketches = store(heads.select("rep", "sketch").join(degrees.select("rep"), "rep", "left_semi"), "sketches")
+    sets = store(shingle_sets(docs, degrees), "sets")
 
     links = confirmed(leader_pairs(members.join(degrees, "rep")), sketches, sets)
     comps = components(links)

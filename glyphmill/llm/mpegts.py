@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm.common import batches_of, documents, id_and_text, store, strings
+from glyphmill.llm.common import batches_of, documents, id_and_text, strings, write_table
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, PMT_PID, MEDIA_PID = 188, 0x47, 0x0000, 0x1000, 0x0100
@@ -271,4 +271,4 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op3_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(with_media(documents(spark, sf_dir)), "media"))
+    return features(write_table(with_media(documents(spark, sf_dir)), "media"))

@@ -15,9 +15,14 @@
    and the plan with the fewest sequences is kept.
 4. A plan is a short list of runs: "sequences a .. a+n-1 hold the r-th to
    (r+n-1)-th piece of length l at offset o". Pieces are ranked within their
-   length, distributed over (length, bucket) so that no length is one task, and
+   length, distributed over (length, part) so that no length is one task, and
    find their run by binary search.
 
+A stream, as ``pack_stream`` reads it from files that were written in order, is packed so that
+sequences follow it: each run is laid out over STRETCHES stretches of sequences, and pieces are ranked within
+their length in the order of the stream, so the k-th stretch has the pieces from the k-th
+part of the stream, whatever their lengths.
+
 Edges: a null text is the empty text (one end id); repeated rows are packed as
 rows of their own; an empty table gives no row; other columns are not read.
 """
@@ -29,15 +34,17 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import tokens
-from glyphmill.llm.common import documents, id_and_text, store
+from glyphmill.llm.common import documents, keep, text_or_empty
 
 CAPACITY = 2048
-BUCKETS = 256
+BUCKETS, STRETCHES = 256, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PLACE = ", part long, nth long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -47,6 +54,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+    """docs: (doc_id, text, part, nth), as id_and_place has them. Returns PIECES, part and nth."""
     end = np.array([tokens.END_ID], "<u4").tobytes()
 
     def run(batches):
@@ -54,16 +62,16 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
 
         for part, ids in tokens.encoded(batches, vocabulary):
             rows = []
-            for doc_id, own in zip(part.column("doc_id").to_pylist(), ids, strict=True):
+            for doc_id, at, nth, own in zip(*(part.column(c).to_pylist() for c in ("doc_id", "part", "nth")), ids, strict=True):
                 own = memoryview(own + end)
                 for k, (start, length) in enumerate(cut(len(own) // 4, capacity)):
-                    rows.append((doc_id, k, start, length, zlib.crc32(own[4 * start : 4 * (start + length)])))
-            names = [c.split()[0] for c in PIECES.split(", ")]
+                    rows.append((doc_id, k, start, length, zlib.crc32(own[4 * start : 4 * (start + length)]), at, nth))
+            names = [c.split()[0] for c in (PIECES + PLACE).split(", ")]
             kinds = [pa.int32() if n == "piece" else pa.int64() for n in names]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return id_and_text(docs).mapInArrow(run, PIECES)
+    return docs.mapInArrow(run, PIECES + PLACE)
 
 
 # --- the plan, from the histogram of lengths ---------------------------------
@@ -291,26 +299,50 @@ def runs_of(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 # --- the distributed part ----------------------------------------------------
 
 
+def id_and_place(docs: DataFrame, stream: bool) -> DataFrame:
+    """(doc_id, text, part, nth): nth is the order within a part. Of a stream, the files (by their numbers) and the rows in them;
+    else hash buckets, in which documents are ordered by doc_id."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    if not stream:
+        return texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(BUCKETS))).withColumn("nth", F.col("doc_id"))
+    try:
+        file = docs.metadataColumn("_metadata")
+        part = F.coalesce(F.regexp_extract(file["file_name"], r"^part-(\d+)", 1).try_cast("long"), F.pmod(F.xxhash64(file["file_path"]), F.lit(BUCKETS)))
+        return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"), part.alias("part"), file["row_index"].cast("long").alias("nth"))
+    except AnalysisException:  # rows of no file are in the order of their partitions
+        return texts.withColumn("part", F.spark_partition_id().cast("long")).withColumn("nth", F.monotonically_increasing_id())
+
+
 def ranked(cut_pieces: DataFrame) -> DataFrame:
-    """Adds rank: 0, 1, ... within each length, counted over (length, bucket) and then over buckets."""
-    dealt = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
-    counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = counts.select(
-        "length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before")
-    )
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    """Adds rank: 0, 1, ... within each length, in the order of parts, counted over (length, part) and then over parts."""
+    counts = cut_pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("length", "part").orderBy("nth", "doc_id", "piece", "start", "ids_crc32"))
     return (
-        dealt.withColumn("own", own)
-        .join(before, ["length", "bucket"])
+        cut_pieces.withColumn("own", own)
+        .join(before, ["length", "part"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).alias("rank"))
     )
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    cut_pieces = store(pieces(docs, vocabulary, capacity), "pieces")
+def spread(plan: list[tuple[tuple[int, ...], int]], stretches: int = STRETCHES) -> list[tuple[tuple[int, ...], int]]:
+    """The same sequences, each kind dealt evenly over the stretches."""
+    out = []
+    phases = [(k * 0.6180339887) % 1 for k in range(len(plan))]  # so that kinds of few sequences don't meet in one stretch
+    for b in range(stretches):
+        for (lengths, n), phase in zip(plan, phases, strict=True):
+            own = int(n * (b + 1) / stretches + phase) - int(n * b / stretches + phase)
+            if own:
+                out.append((lengths, own))
+    return out
+
+
+def _packed(docs: DataFrame, vocabulary: str, capacity: int, stream: bool) -> DataFrame:
+    cut_pieces = keep(pieces(id_and_place(docs, stream), vocabulary, capacity))
     # At most `capacity` rows, whatever the corpus.
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = runs_of(pack_histogram(histogram, capacity))
+    plan = pack_histogram(histogram, capacity)
+    runs = runs_of(spread(plan) if stream else plan)
 
     def place(batches):
         import pyarrow as pa
@@ -318,18 +350,28 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for one in np.unique(length):
-                at, own = np.flatnonzero(length == one), runs[int(one)]
+            order = np.argsort(length, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+                own = runs[int(length[at[0]])]
                 k = np.searchsorted(own[:, 0], rank[at], side="right") - 1
                 sequence[at] = own[k, 1] + rank[at] - own[k, 0]
                 offset[at] = own[k, 2]
-            keep = batch.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+            keep_ = batch.select(["doc_id", "piece", "start", "length", "ids_crc32"])
             yield pa.RecordBatch.from_arrays(
-                [*keep.columns, pa.array(sequence), pa.array(offset)], names=[*keep.schema.names, "sequence_id", "offset"]
+                [*keep_.columns, pa.array(sequence), pa.array(offset)], names=[*keep_.schema.names, "sequence_id", "offset"]
             )
 
     return ranked(cut_pieces).mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+    return _packed(docs, vocabulary, capacity, stream=False)
+
+
+def pack_stream(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+    """The same sequences in number; their ids follow the stream that docs were written as."""
+    return _packed(docs, vocabulary, capacity, stream=True)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokens.vocabulary())

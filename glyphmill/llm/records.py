@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import tokens
-from glyphmill.llm.common import documents, id_and_text, new_path, shuffle_partitions, store
+from glyphmill.llm.common import documents, file_system, id_and_text, new_path, shuffle_partitions, store
 
 SHARD_BYTES = 64 << 20
 _NO_ID, _SHORT = 1, 2
@@ -73,13 +73,6 @@ def unpack(data: bytes) -> tuple[int | None, bytes]:
     return None if flags & _NO_ID else doc_id, np.frombuffer(body, "<u2").astype("<u4").tobytes() if flags & _SHORT else body
 
 
-def file_system(uri: str):
-    """pyarrow's file system of a URI (local, hdfs, s3, gs ...) and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
-
-
 def read_frame(f) -> bytes | None:
     head = f.read(_HEAD.size)
     if not head:

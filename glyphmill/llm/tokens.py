@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from glyphmill.llm.common import batches_of, strings
+from glyphmill.llm.common import batches_of, strings, trim
 
 END_ID = 0
 #: White space of any kind, for RE2, which knows ASCII's only.
@@ -71,7 +71,7 @@ class _Table:
 class Encoder:
     """ids(texts) -> for each text, its ids as little-endian unsigned 32-bit bytes (no end id)."""
 
-    def __init__(self, path: str, most_kept: int = 700_000, longest_kept: int = 64):
+    def __init__(self, path: str, most_kept: int = 600_000, longest_kept: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -197,3 +197,4 @@ def encoded(batches: Iterable, path: str) -> Iterator[tuple[object, list[bytes]]
     for batch in batches:
         for part in batches_of(batch, _SLICE):
             yield part, enc.ids(part.column("text"))
+    trim()

@@ -1,7 +1,7 @@
 """The pipeline against brute force on sf0.001: every stage on what the one before kept."""
 
 import corpus_pipeline
-from glyphmill.llm.common import documents, store
+from glyphmill.llm.common import documents, write_table
 
 from .test_operators import by_lines, groups
 
@@ -13,7 +13,7 @@ def test_stages(spark):
     columns = docs.columns
     before = {r.doc_id: r.text for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = store(stage(spark, docs, SF), name)
+        docs = write_table(stage(spark, docs, SF), name)
         assert docs.columns == columns
         rows = docs.collect()
         after = {r.doc_id: r.text for r in rows}
@@ -34,7 +34,11 @@ def test_stages(spark):
             assert sorted(after) == sorted({ids[c] for _, c in want.values()})
         else:
             assert after == before
-        before = after
+            unmixed = last
+        before, last = after, docs
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(before)
-    assert corpus_pipeline.run(spark, SF).count() == len(packed)
+    assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(packed)
+    # The mix takes effect: without it documents come into other sequences.
+    places = {(r.doc_id, r.piece): r.sequence_id for r in packed}
+    assert places != {(r.doc_id, r.piece): r.sequence_id for r in corpus_pipeline.STAGES[-1][1](spark, unmixed, SF).collect()}
