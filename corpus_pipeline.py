@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import kneser_ney, linededup, minhash, packing, pfair, tokens
-from glyphmill.llm.common import documents, store
+from glyphmill.llm.common import documents, release, write_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens, placed in sequences."""
-    return packing.pack_documents(docs, tokens.vocabulary())
+    """Pieces of at most 2048 tokens, placed in sequences that follow the mixed stream, so the first of them are mixed as all are."""
+    return packing.pack_stream(docs, tokens.vocabulary())
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
@@ -46,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        release()
     return STAGES[-1][1](spark, docs, sf_dir)
