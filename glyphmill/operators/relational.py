@@ -84,6 +84,11 @@ def first_evidence(rows: DataFrame, ids: str, evidence: DataFrame, name: str = "
     return rows.join(first, "id", "left")
 
 
+def tokens_per_source(tokens: DataFrame) -> DataFrame:
+    """(source, tokens): how many tokens have each source, as first_evidence found it."""
+    return tokens.filter("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("tokens"))
+
+
 def unused_names(sources: DataFrame, names: DataFrame) -> DataFrame:
     """sources (identity, used_as, ...) with tab_of: the name (identity, name) that a page of a component belongs to, where nothing of it was used."""
     one = names.groupBy("identity").agg(F.min("name").alias("_name"))
@@ -109,19 +114,23 @@ def source_log(events: DataFrame) -> DataFrame:
     return log.select("url", "role", "ord", F.when(open_, "SKIPPED").otherwise(F.col("l.status")).alias("status"), F.when(open_, "NOT_PROCESSED").otherwise(F.col("l.reason")).alias("reason"))
 
 
+_EDGE = "(?:(?<![a-z0-9_])(?=[a-z0-9_])|(?<=[a-z0-9_])(?![a-z0-9_]))"
+
+
 def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """pages (site_id, id, text) and names (site_id, name): which names, alone or with a plural s, a text has as words.
-
-    Texts are cut in runs of as many words as names have and joined on equality, so that neither side is
-    looped over."""
-    low = names.select("site_id", F.lower("name").alias("name")).filter(F.length("name") >= 3).distinct()
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda w: w != "")
-    name_words = F.array_join(F.filter(F.split("name", "[^a-z0-9_]+"), lambda w: w != ""), " ")
-    known = low.withColumn("phrase", name_words).withColumn("n", F.size(F.split("phrase", " ")))
-    # The numbers of words that occur: one row.
-    sizes = known.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-    run = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
-    runs = F.flatten(F.transform("sizes", lambda k: F.when(k <= F.size("w"), run(F.least(k, F.size("w")))).otherwise(F.array().cast("array<string>"))))
-    grams = pages.select("site_id", "id", words.alias("w")).filter(F.size("w") > 0).join(F.broadcast(sizes)).select("site_id", "id", F.explode(F.array_distinct(runs)).alias("phrase"))
-    either = grams.select("site_id", "id", F.explode(F.array_distinct(F.array("phrase", F.regexp_replace("phrase", "s$", "")))).alias("phrase"))
-    return either.join(known, ["site_id", "phrase"]).groupBy("site_id", "id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    """pages (site_id, id, text) and names (site_id, name): which names, alone or with a plural s, a text has, literally and between
+    word edges. A hyphen in a name stands for a space; names of under three characters don't count.
+
+    The distinct words of texts are joined with the names' first words on equality, so that neither side is looped over;
+    only texts that have a name's first word are searched for the name."""
+    low = names.select("site_id", F.trim(F.replace(F.lower("name"), F.lit("-"), F.lit(" "))).alias("name")).filter(F.length("name") >= 3).distinct()
+    first = F.regexp_extract("name", "[a-z0-9_]+", 0)
+    keys = F.when((first != "") & F.endswith("name", first), F.array(first, F.concat(first, F.lit("s")))).otherwise(F.array(first))
+    known = low.select("site_id", "name", F.explode(keys).alias("key"))
+    # The empty word is every text's, for names without a word.
+    words = F.array_union(F.split(F.lower("text"), "[^a-z0-9_]+"), F.array(F.lit("")))
+    met = pages.select("site_id", "id", F.explode(words).alias("key")).join(known, ["site_id", "key"])
+    asked = met.groupBy("site_id", "id").agg(F.collect_set("name").alias("names"))
+    literal = lambda n: F.concat(F.lit(_EDGE), F.regexp_replace(n, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit("s?" + _EDGE))
+    said = pages.withColumn("text", F.lower("text")).join(asked, ["site_id", "id"]).select("site_id", "id", F.explode(F.filter("names", lambda n: F.regexp("text", literal(n)))).alias("name"))
+    return said.groupBy("site_id", "id").agg(F.sort_array(F.collect_set("name")).alias("names"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import urls
+from glyphmill.operators import relational
 
 MAX_LISTED = 20_000
 
@@ -24,11 +25,12 @@ def robots(docs: DataFrame) -> DataFrame:
 
 
 def markdown_links(docs: DataFrame, base: Column) -> DataFrame:
-    """(id, url): links and bare addresses of llms.txt, resolved, normalised and distinct."""
+    """(id, url): links and bare addresses of llms.txt, resolved, normalised and distinct, the first MAX_LISTED of a body."""
     raw = F.regexp_extract_all("body", F.lit(r"""\]\(\s*[^)\s]+\s*\)|https?://[^\s)<>"']+"""), F.lit(0))
     bare = F.transform(raw, lambda x: F.regexp_replace(x, r"^\]\(\s*|\s*\)$", ""))
-    each = docs.select("id", base.alias("base"), F.explode(F.slice(bare, 1, MAX_LISTED)).alias("raw"))
-    return each.select("id", urls.normalize(urls.resolve(F.col("raw"), F.col("base"))).alias("url")).filter("url IS NOT NULL").distinct()
+    each = docs.select("id", base.alias("base"), F.posexplode(F.array_distinct(bare)).alias("ord", "raw"))
+    found = each.select("id", "ord", urls.normalize(urls.resolve(F.col("raw"), F.col("base"))).alias("url")).filter("url IS NOT NULL")
+    return relational.top_per(found.groupBy("id", "url").agg(F.min("ord").alias("ord")), ["id"], ["ord"], MAX_LISTED).select("id", "url")
 
 
 def storybook(docs: DataFrame) -> DataFrame:

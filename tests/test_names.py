@@ -12,6 +12,39 @@ def test_mentions_of_long_names(spark):
     assert relational.mentions(pages, names.limit(0)).count() == 0
 
 
+def test_mentions_are_literal(spark):
+    import re
+
+    texts = ["button, group of tabs", "button group", "buttons group", "my-tabs", "asp.net c++ xtab tab_s", "a date-picker and date pickers", "botón azul", None, "", "(x) +++ [y]"]
+    names = ["button group", "Tab", "c++", ".net", "date-picker", "Botón", "+++", "[y]", "ab", "x.y", "button"]
+    pages = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "site_id int, id int, text string")
+    got = {r.id: r.names for r in relational.mentions(pages, spark.createDataFrame([(1, n) for n in names], "site_id int, name string")).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        for n in sorted({n.lower().replace("-", " ").strip() for n in names}):
+            if t and len(n) >= 3 and re.search(rf"\b{re.escape(n)}s?\b", t.lower(), re.A):
+                want.setdefault(k, []).append(n)
+    assert got == want and 0 not in [k for k, v in got.items() if "button group" in v]
+
+
+def test_closing_tags_with_any_white_space():
+    from glyphmill.functions import html_scan
+
+    assert [b.inner for b in html_scan.find_blocks("<p>one</p" + " " * 500 + "><p>two</p\n>", "p")] == ["one", "two"]
+
+
+def test_links_are_cut_after_repeats(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from glyphmill.sources import listings
+
+    monkeypatch.setattr(listings, "MAX_LISTED", 3)
+    body = "[a](/a) [a](/a) [a](/a) [b](/b) [a](/a) [c](/c) [d](/d)"
+    docs = spark.createDataFrame([(1, body)], "id int, body string")
+    got = {r.url for r in listings.markdown_links(docs, F.lit("https://s.example/llms.txt")).collect()}
+    assert got == {f"https://s.example/{x}" for x in "abc"}
+
+
 def test_sites_read_every_page_with_html(spark, tmp_path, monkeypatch):
     rows = [(k, f"https://a.example/p{k}", None if k == 3 else "<p>x</p>") for k in range(15)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
