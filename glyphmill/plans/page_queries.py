@@ -95,7 +95,7 @@ page_query("H25_version_signal", lambda p: {"version": text.version_signal(p.htm
            OR regexp_matches(html, '(?i)<time\b[^<>]*datetime=') AS version""")
 page_query("H26_mcp_signal", lambda p: {"mcp": text.mcp_signal(p.html)},
            rf"regexp_matches(html, '(?i)(^|[^A-Za-z0-9_])(model context protocol|mcp server|servidor mcp|mcp{_WS}+(endpoint|integration|integraci[oó]n))([^A-Za-z0-9_]|$)') AS mcp")
-page_query("B01_html_pages", lambda p: {"is_html": F.contains(F.lower(F.substring("html", 1, 60)), F.lit("html"))}, "contains(lower(substr(html, 1, 60)), 'html') AS is_html")
+page_query("B01_html_pages", lambda p: {"is_html": F.contains(F.lower("html"), F.lit("<html"))}, "contains(lower(html), '<html') AS is_html")
 page_query("B05_utility_file", lambda p: {"utility": urls.is_utility(p.url)},
            f"regexp_matches(lower({_d_path()}), '(^|/)((robots|llms|humans|security)\\.txt|agents\\.md|sitemap[^/]*\\.xml|(index|stories)\\.json)$') AS utility")
 page_query("B06_in_scope", lambda p: {"inside": urls.in_scope(p.url, F.lit("http://ththre.example.com/fr/"))},
@@ -250,18 +250,18 @@ def distinct_first(spark, sf):
     return relational.first_per(p, ["txt"], ["page_id"])
 
 
-@query("C03_page_outline", "SELECT s.page_id, o.title FROM pages s LEFT JOIN (SELECT url, min(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS title FROM pages WHERE page_id % 2 = 0 GROUP BY url) o ON o.url = s.url")
+@query("C03_page_outline", "SELECT s.page_id, o.title FROM pages s LEFT JOIN (SELECT url, min(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS title FROM pages GROUP BY url) o ON o.url = s.url")
 def outline(spark, sf):
     p = _pages(spark, sf)
-    titles = p.filter("page_id % 2 = 0").groupBy("url").agg(F.min(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("title"))
+    titles = p.groupBy("url").agg(F.min(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("title"))
     sources = p.select("page_id", F.concat(F.lit("x"), "url").alias("final_url"), F.col("url").alias("own_url"))
     return relational.probed(sources, titles, ["final_url", "own_url"], "url", "title").select("page_id", "title")
 
 
-@query("C01_source_usage", "SELECT p.page_id, coalesce(u.used, '') AS used FROM pages p LEFT JOIN (SELECT url, string_agg(DISTINCT use, ',' ORDER BY use) AS used FROM (SELECT url, 'k' || CAST(page_id % 3 AS VARCHAR) AS use FROM pages WHERE page_id % 5 < 3) GROUP BY url) u ON u.url = p.url")
+@query("C01_source_usage", "SELECT p.page_id, coalesce(u.used, '') AS used FROM pages p LEFT JOIN (SELECT url, string_agg(DISTINCT use, ',' ORDER BY use) AS used FROM (SELECT url, 'k' || CAST(page_id % 3 AS VARCHAR) AS use FROM pages) GROUP BY url) u ON u.url = p.url")
 def source_usage(spark, sf):
     p = _pages(spark, sf)
-    used = p.filter("page_id % 5 < 3").select("url", F.concat(F.lit("k"), (F.col("page_id") % 3).cast("string")).alias("use"))
+    used = p.select("url", F.concat(F.lit("k"), (F.col("page_id") % 3).cast("string")).alias("use"))
     per = relational.usage_of(p.select("url").distinct().withColumn("final_url", F.lit(None).cast("string")), used)
     return p.join(per, "url").select("page_id", F.array_join("used_as", ",").alias("used"))
 
@@ -285,7 +285,7 @@ def semi_flags(spark, sf):
 
 @query("G06_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def difference(spark, sf):
-    return _docs(spark, sf).select("doc_id").exceptAll(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id"))
+    return _docs(spark, sf).select("doc_id").subtract(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id"))
 
 
 @query("C14_pattern_mentions", r"""

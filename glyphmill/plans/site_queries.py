@@ -85,6 +85,13 @@ def token_evidence(spark, sf):
     return relational.first_evidence(tokens, "evidence_ids", evidence).select(F.col("id").alias("l_orderkey"), "source")
 
 
+@query("D05_token_counts", """
+  SELECT source, count(*) AS tokens FROM (SELECT first(p_brand ORDER BY l_linenumber, l_partkey) FILTER (WHERE p_partkey % 2 = 0) AS source
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey) WHERE source IS NOT NULL GROUP BY 1""")
+def token_counts(spark, sf):
+    return relational.tokens_per_source(token_evidence(spark, sf))
+
+
 @query("C04_unused_tabs", "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN min(p_type) OVER (PARTITION BY p_brand) END AS tab_of FROM part")
 def unused_tabs(spark, sf):
     p = _t(spark, sf, "part")
@@ -165,11 +172,11 @@ def budgets(spark, sf):
 
 
 @query("I08_frontier", """
-  WITH RECURSIVE e AS (SELECT DISTINCT l_returnflag AS site_id, l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 45),
+  WITH RECURSIVE e AS (SELECT DISTINCT l_returnflag AS site_id, l_suppkey AS src, l_partkey AS dst FROM lineitem),
   r AS (SELECT site_id, min(src) AS url, 0 AS depth FROM e GROUP BY 1 UNION SELECT r.site_id, e.dst, r.depth + 1 FROM r JOIN e ON e.site_id = r.site_id AND e.src = r.url WHERE r.depth < 3)
   SELECT site_id, url, min(depth) AS depth FROM r GROUP BY 1, 2""")
 def frontier_steps(spark, sf):
-    e = _t(spark, sf, "lineitem").filter("l_quantity >= 45").select(F.col("l_returnflag").alias("site_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    e = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("site_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     return frontier.reached(e, e.groupBy("site_id").agg(F.min("src").alias("url")))
 
 
