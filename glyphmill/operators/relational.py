@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -18,32 +19,70 @@ def top_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+RANGES = 256
+
+
+def _range_of(df: DataFrame, by: str | Column, ranges: int) -> Column:
+    """Which of some ranges, cut at quantiles, a number or time is in, ascending; null is -1, and other types have one range."""
+    column = F.col(by) if isinstance(by, str) else by
+    kind = df.select(column.alias("x")).schema["x"].dataType
+    if isinstance(kind, (TimestampType, DateType)):
+        value = F.unix_micros(column.cast("timestamp")).cast("double")
+    elif isinstance(kind, NumericType):
+        value = column.cast("double")
+    else:
+        return F.lit(0)
+    cuts = sorted(set(df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("c")).first()["c"] or []))
+    ends = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+    further = lambda at, step: F.when((at + step <= len(cuts)) & (F.get(ends, at + step - 1) <= value), at + step).otherwise(at)
+    return F.when(value.isNull(), -1).otherwise(F.aggregate(steps, F.lit(0), further))
+
+
+def in_ranges(df: DataFrame, keys: list[str], order: list, amount: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """Adds _sofar, the sum of amount (or the number of rows) of a group up to a row in order, itself included, and _size, the group's
+    rows. Only rows of one group and one range of the first order column are sorted together, and the sums of ranges give the
+    rest, so a group of any size isn't one task."""
+    dealt = df.withColumn("_range", _range_of(df, order[0], ranges))
+    value = F.col(amount) if amount else F.lit(1)
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    before = sums.select(
+        *[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], F.col("_range").alias("_at"),
+        (F.sum("_s").over(group.orderBy("_range")) - F.col("_s")).alias("_before"), F.sum("_c").over(group).alias("_size"),
+    )
+    own = F.sum(value).over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("_range") == F.col("_at")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{n}"))
+    out = dealt.withColumn("_own", own).join(before, same).withColumn("_sofar", F.col("_before") + F.col("_own"))
+    return out.drop("_range", "_at", "_before", "_own", *[f"_key{n}" for n in range(len(keys))])
+
+
 def evenly_spaced(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """n of the m rows of each group at even steps: those at floor(i m/n + m/2n); all of them if m <= n."""
-    m = F.count("*").over(Window.partitionBy(*keys))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     # The i whose step could end here; the division is done as the rule does it.
-    i = F.floor((F.col("_at") + 1) * n / F.col("_m"))
+    at, m = F.col("_sofar") - 1, F.col("_size")
+    i = F.floor((at + 1) * n / m)
 
     def hits(k: Column) -> Column:
-        return F.floor(k * (F.col("_m") / n) + F.col("_m") / n / 2) == F.col("_at")
+        return F.floor(k * (m / n) + m / n / 2) == at
 
     near = F.exists(F.array(i - 2, i - 1, i, i + 1), lambda k: (k >= 0) & (k < n) & hits(k))
-    return df.withColumn("_m", m).withColumn("_at", at).filter((F.col("_m") <= n) | near).drop("_m", "_at")
+    return in_ranges(df, keys, order).filter((m <= n) | near).drop("_sofar", "_size")
 
 
 def capped(df: DataFrame, group: str, order: list, cap: int, exempt: list[str]) -> DataFrame:
     """Adds listed (the first cap rows of a group, and all of exempt groups) and truncated (how many of the group aren't)."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(group))
     free = F.col(group).isin(exempt)
-    return df.withColumn("listed", free | (rn <= cap)).withColumn("truncated", F.when(free, 0).otherwise(F.greatest(n - cap, F.lit(0))).cast("long"))
+    left = F.when(free, 0).otherwise(F.greatest(F.col("_size") - cap, F.lit(0))).cast("long")
+    return in_ranges(df, [group], order).withColumn("listed", free | (F.col("_sofar") <= cap)).withColumn("truncated", left).drop("_sofar", "_size")
 
 
 def numbered_ids(df: DataFrame, keys: list[str], order: list, prefix: str = "ev-", width: int = 4) -> DataFrame:
     """Ids that count rows of a group in order; longer numbers aren't cut."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("string")
-    return df.withColumn("id", F.concat(F.lit(prefix), F.lpad(n, F.greatest(F.lit(width), F.length(n)), F.lit("0"))))
+    n = F.col("_sofar").cast("string")
+    return in_ranges(df, keys, order).withColumn("id", F.concat(F.lit(prefix), F.lpad(n, F.greatest(F.lit(width), F.length(n)), F.lit("0")))).drop("_sofar", "_size")
 
 
 def coalesce_first(df: DataFrame, keys: list[str], value: Column, order: Column, name: str) -> DataFrame:

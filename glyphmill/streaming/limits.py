@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.relational import in_ranges
+
 SLICE = 3600 * 1_000_000
 
 
@@ -35,7 +37,7 @@ def evicted(events: DataFrame, key: str, ts: str, now: Column, seconds: int) ->
 
 def running(starts: DataFrame, day: str, ts: str, delta: str, tie: str) -> DataFrame:
     """Adds active: the sum of +1 and -1 so far within a day."""
-    return starts.withColumn("active", F.sum(delta).over(Window.partitionBy(day).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)))
+    return in_ranges(starts, [day], [ts, tie], delta).withColumnRenamed("_sofar", "active").drop("_size")
 
 
 def job_log(events: DataFrame, job: str, order: list, cap: int = 200, since: int = 0) -> DataFrame:

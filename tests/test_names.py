@@ -52,3 +52,17 @@ def test_sites_read_every_page_with_html(spark, tmp_path, monkeypatch):
     read, records = site_queries._sites(spark, str(tmp_path))
     assert {r.url for r in read.collect()} == {u for k, u, _ in rows if k != 3}
     assert [r.url for r in records.filter("status = 'FAILED'").collect()] == ["https://a.example/p3"] and records.count() == 15
+
+
+def test_groups_are_summed_over_ranges(spark):
+    import datetime
+
+    rows = [(None if k % 11 == 0 else "ab"[k % 3 == 0], None if k % 7 == 0 else (k * 37) % 500, k, float(k % 5), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k * 37 % 500)) for k in range(1200)]
+    df = spark.createDataFrame(rows, "g string, x int, id int, v double, t timestamp")
+    for first in ("x", "v", "t", "id"):
+        at = {"x": 1, "v": 3, "t": 4, "id": 2}[first]
+        got = {r.id: (r._sofar, r._size) for r in relational.in_ranges(df, ["g"], [first, "id"], ranges=16).collect()}
+        for g in (None, "a", "b"):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[at] is not None, r[at] if r[at] is not None else 0, r[2]))
+            assert [got[r[2]] for r in own] == [(n + 1, len(own)) for n in range(len(own))]
+    assert relational.in_ranges(df.limit(0), ["g"], ["x"]).count() == 0
