@@ -146,14 +146,14 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def batches_of(batch, most_bytes: int = 1 << 20):
-    """Slices of an Arrow batch whose text column holds about most_bytes, to bound what Python holds at once."""
+def batches_of(batch, most_bytes: int = 1 << 20, column: str = "text"):
+    """Slices of an Arrow batch whose texts (or bytes of another column) are about most_bytes, to bound what Python holds at once."""
     import numpy as np
     import pyarrow.compute as pc
 
     if batch.num_rows == 0:
         return
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0

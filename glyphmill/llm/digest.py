@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import documents, id_and_text, shuffle_partitions
+from glyphmill.llm.common import batches_of, documents, id_and_text, shuffle_partitions, strings
 
 BUCKETS = 256
 #: Points for quartiles 0, 1, 2, 3 apart; most points of the length and of each ratio.
@@ -157,9 +157,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         rows, held, at, closed = [], None, None, False
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for key, doc_id, text, own in zip(*(part.column(c).to_pylist() for c in ("range", "doc_id", "text", "own")), strict=True):
+            for part in batches_of(batch):
+                for key, doc_id, text, own in zip(*(part.column(c).to_pylist() for c in ("range", "doc_id")), strings(part.column("text")), part.column("own").to_pylist(), strict=True):
                     if closed and key == at:
                         continue  # further rows of the id that closes the range
                     row = (doc_id, text, digest(text))

@@ -255,9 +255,9 @@ def features(media: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in FEATURES.split(", ")]
         kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "timestamps": pa.list_(pa.int64())}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(at, 512), []
-                for doc_id, n, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
+            for part in batches_of(batch, column="media"):
+                rows = []
+                for doc_id, n, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes")), strings(part.column("media")), strict=True):
                     s = demux(data)
                     rows.append(
                         (doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-_BLOCK:]), len(data),

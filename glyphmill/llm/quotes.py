@@ -33,11 +33,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import store
+from glyphmill.llm.common import batches_of, keep, store, strings
 
 LEAST = 12
 _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.S)
-_INTRO = re.compile(r"(?i)^\s*(?:on\b.{0,200}\bwrote|el\b.{0,200}\bescribió|le\b.{0,200}\ba écrit|am\b.{0,200}\bschrieb)\s*:\s*$")
+_INTRO = re.compile(r"(?i)^\s*(?:on\b.*\bwrote|el\b.*\bescribió|le\b.*\ba écrit|am\b.*\bschrieb)\s*:\s*$")
 
 
 def split_levels(text: str) -> list[tuple[int, list[str]]]:
@@ -99,10 +99,9 @@ def parsed(messages: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), kind]
         names = ["conv_id", "turn", "role", "body", "max_level", "n_quotes", "units"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            for part in batches_of(batch):
                 rows = []
-                for conv, turn, role, text in zip(*(batch.slice(at, 1024).column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
-                    text = text or ""
+                for conv, turn, role, text in zip(*(part.column(c).to_pylist() for c in ("conv_id", "turn")), strings(part.column("role")), strings(part.column("text")), strict=True):
                     levels = [level for level, _ in split_levels(text) if level]
                     own = [{"level": level, "hash": h, "wide": wide} for level, h, wide in units(text)]
                     rows.append((conv, turn, role, body_of(text), max(levels, default=0), len(levels), own))
