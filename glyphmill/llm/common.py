@@ -17,6 +17,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,13 +55,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df, an operator's own table of plain types, as Parquet files in the shared folder and return the table.
+def store(df: DataFrame, name: str, through: Callable[[Iterator], Iterator] | None = None, schema: str | None = None) -> DataFrame:
+    """Write df, an operator's own table of plain types, as Parquet files in the shared folder and return the table. What goes
+    through a function of Arrow batches (to the schema) is written by the same Python worker.
 
     Each task writes a file, and the files that whole tasks report are the table, so those of lost and repeated attempts
     are never read. Tasks write from Python: on file systems without a native library the JVM starts a process for
     every file and folder that it makes, and while such a process starts, a large JVM counts twice."""
-    spark, schema = df.sparkSession, df.schema
+    spark, schema = df.sparkSession, schema or df.schema
     path = new_path(spark, name)
 
     def write(batches):
@@ -69,7 +71,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
         from pyspark import TaskContext
 
         file, writer = f"{path}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.parquet", None
-        for batch in batches:
+        for batch in through(batches) if through else batches:
             if batch.num_rows:
                 if writer is None:
                     fs, where = file_system(file)

@@ -99,7 +99,7 @@ def bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set_key, bands, sketch); set_key is null for an empty set."""
+    """(doc_id, n, set_key, bands, sketch), stored; set_key is null for an empty set."""
 
     def run(batches):
         import xxhash
@@ -120,11 +120,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 )
         trim()
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, set_key binary, bands array<long>, sketch binary")
+    return store(id_and_text(docs), "signatures", run, "doc_id long, n long, set_key binary, bands array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, n, shingles) of the documents in ids (rep)."""
+    """(rep, n, shingles) of the documents in ids (rep), stored."""
 
     def run(batches):
         for batch in batches:
@@ -139,20 +139,27 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     rows = id_and_text(docs)
     # Neither side has a bound, so this is a shuffle at every size.
     wanted = rows.join(ids.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "rep long, n long, shingles array<long>")
+    return store(wanted, "sets", run, "rep long, n long, shingles array<long>")
 
 
-def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Similarity from two sketches: equal bytes, less those equal by chance."""
+def estimates(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Similarities from two columns of sketches: equal bytes, less those equal by chance."""
     x, y = (np.frombuffer(b"".join(strings(v)), np.uint8).reshape(len(v), 2 * PERMUTATIONS) for v in (a, b))
-    return pa.array(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
+    return ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _near(batches):
+    """(a, b) of the rows (a, b, sketch_a, sketch_b) that can be similar by their sketches."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.select(["a", "b"]).filter(pa.array(estimates(batch.column("sketch_a"), batch.column("sketch_b")) >= LEAST_ESTIMATE))
 
 
 def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole sets reach the similarity."""
 
     left, right = (sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
-    near = store(pairs.join(right, "b").join(left, "a").filter(F.arrow_udf(estimate, "double")("sketch_a", "sketch_b") >= LEAST_ESTIMATE).select("a", "b"), "near-pairs")
+    near = store(pairs.join(right, "b").join(left, "a").select("a", "b", "sketch_a", "sketch_b"), "near-pairs", _near, "a long, b long")
     left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
     both = near.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     # Row by row in the JVM, as an Arrow batch of pairs would hold thousands of whole sets.
@@ -226,7 +233,7 @@ def prefix_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    rows = store(signed(docs), "signatures")
+    rows = signed(docs)
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = store(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     heads = usable.join(classes, "set_key").filter("doc_id = rep")
@@ -235,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = store(entries.join(several.select("bucket", "size"), "bucket").distinct(), "buckets")
     degrees = store(members.groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
     sketches = store(heads.select("rep", "sketch").join(degrees.select("rep"), "rep", "left_semi"), "sketches")
-    sets = store(shingle_sets(docs, degrees), "sets")
+    sets = shingle_sets(docs, degrees)
 
     links = confirmed(leader_pairs(members.join(degrees, "rep")), sketches, sets)
     comps = components(links)
