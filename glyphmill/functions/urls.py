@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 # Words and patterns that must equal the reference's for right results.
 KEYWORDS = ["foundation", "token", "component", "pattern", "accessib", "guideline", "resource", "changelog", "storybook", "story", "agent"]
 TRACKING = r"(?i)^(utm_\w+|gclid|fbclid|msclkid|mc_cid|mc_eid|ref|ref_src|_ga|_gl)$"
-SECTIONS = (
-    "components component componentes componente foundations foundation fundamentos fundamentals tokens design-tokens patterns pattern patrones "
-    "guidelines guias guías pautas elements elementos styles estilos getting-started get-started primeros-pasos resources recursos templates "
-    "plantillas layouts accessibility accesibilidad changelog releases release-notes docs documentation documentacion documentación"
-).split()
-TABS = (
-    "usage style code accessibility examples api props design guidelines overview specs spec specifications uso estilo codigo código "
-    "accesibilidad ejemplos diseno diseño especificaciones"
-).split()
-TAB_ORDER = (
-    "usage uso overview guidelines design diseno diseño style estilo specs spec specifications especificaciones examples ejemplos code codigo "
-    "código api props accessibility accesibilidad"
-).split()
+SECTIONS = [
+    "components", "component", "componentes", "componente", "foundations", "foundation", "fundamentos", "fundamentals", "tokens", "design-tokens",
+    "patterns", "pattern", "patrones", "guidelines", "guias", "guías", "pautas", "elements", "elementos", "styles", "estilos", "getting-started",
+    "get-started", "primeros-pasos", "resources", "recursos", "templates", "plantillas", "layouts", "accessibility", "accesibilidad", "changelog",
+    "releases", "release-notes", "docs", "documentation", "documentacion", "documentación",
+]
+TABS = [
+    "usage", "style", "code", "accessibility", "examples", "api", "props", "design", "guidelines", "overview", "specs", "spec", "specifications",
+    "uso", "estilo", "codigo", "código", "accesibilidad", "ejemplos", "diseno", "diseño", "especificaciones",
+]
+TAB_ORDER = [
+    "usage", "uso", "overview", "guidelines", "design", "diseno", "diseño", "style", "estilo", "specs", "spec", "specifications", "especificaciones",
+    "examples", "ejemplos", "code", "codigo", "código", "api", "props", "accessibility", "accesibilidad",
+]
 GENERIC = ["", "index", "overview", "components", "guidelines", "getting-started", "web", "react", "ios", "android", "windows"]
 NOT_DESIGN = r"(^|[/_-])(mcp|llms?|ai|auth|oauth|access|bearer|jwt|csrf|session|prompts?)([/_-]|$)"
 FOUNDATION = (

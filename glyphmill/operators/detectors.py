@@ -17,10 +17,6 @@ from glyphmill.operators import json_tokens, relational, scoring
 from glyphmill.session import cut
 
 # Fixed values.
-TABS = (
-    "usage uso overview guidelines design diseno diseño style estilo specs spec specifications especificaciones examples ejemplos code codigo código "
-    "api props accessibility accesibilidad"
-).split()
 VARIANT_PROPS = "(?i)^(variant|kind|appearance|type|intent|tone|color|size)$"
 _TYPES = dict(f.split(" ", 1) for f in ("access", "components", "tokens", "patterns") for f in [next(x for x in scoring.SITE.split(", ") if x.startswith(f + " "))])
 
@@ -50,7 +46,7 @@ def components(seen: DataFrame, records: DataFrame) -> DataFrame:
     """(site_id, identity, source, component): one for all tabs of a component, and one that can't be evaluated for each whose pages all failed."""
     tabs = seen.filter(F.col("is_html") & urls.is_component_page(F.col("url"))).withColumn("identity", urls.component_identity(F.col("url")))
     last = urls.last_segment(F.col("url"))
-    tabs = tabs.withColumn("order", F.struct(F.array_position(F.array(*map(F.lit, TABS)), last).alias("rank"), F.length("url").alias("n"), F.col("url")))
+    tabs = tabs.withColumn("order", F.struct(F.array_position(F.array(*map(F.lit, urls.TAB_ORDER)), last).alias("rank"), F.length("url").alias("n"), F.col("url")))
     o, ok = F.col("order"), F.col("readable")
     prop = F.transform("f.props", lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), p["description"].alias("description"), text.allowed_values(p["type"]).alias("allowed_values"), p["default"].alias("default")))
     accessible = F.col("f.has_accessibility") | last.isin("accessibility", "accesibilidad")
