@@ -5,7 +5,8 @@ association table, one program map table, then elementary packets (PES) of
 private data, each with a 90 kHz timestamp; a PES begins in a packet whose
 adaptation field marks a random-access point and carries a clock reference.
 ``demux`` reads a stream back: tables with their CRCs, continuity counters by
-PID, reassembled packets, timestamps and random-access points. Packets are
+PID, reassembled packets, timestamps and random-access points; ``features`` stores
+the timestamps with the numbers of the packets at random-access points. Packets are
 handled as rows of a numpy matrix, so there is no Python work a packet except
 for those with adaptation fields.
 
@@ -189,7 +190,7 @@ def demux(media: bytes) -> Stream:
         found.continuity_errors += int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
         adapted = (control & 0x20).astype(bool)
         first, parts = np.flatnonzero(starts[at] & carries), []
-        for a, b in zip(first, [*first[1:], len(at)], strict=True):
+        for a, b in zip(first, [*first[1:], len(at)], strict=False):  # none begins in a stream that lost all starts
             pes = []
             special = [k for k in range(a, b) if k == a or k == b - 1] if not adapted[a + 1 : b - 1].any() else range(a, b)
             previous = a
@@ -242,7 +243,7 @@ def with_media(docs: DataFrame) -> DataFrame:
 
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, n_packets long, n_random_access long, timestamps array<long>, n_errors long"
+    "media_sha256 string, feature string, n_packets long, n_random_access long, timestamps array<long>, random_access array<long>, n_errors long"
 )
 
 
@@ -253,7 +254,7 @@ def features(media: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         names = [c.split()[0] for c in FEATURES.split(", ")]
-        kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "timestamps": pa.list_(pa.int64())}
+        kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "timestamps": pa.list_(pa.int64()), "random_access": pa.list_(pa.int64())}
         for batch in batches:
             for part in batches_of(batch, column="media"):
                 rows = []
@@ -261,7 +262,7 @@ def features(media: DataFrame) -> DataFrame:
                     s = demux(data)
                     rows.append(
                         (doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-_BLOCK:]), len(data),
-                         hashlib.sha256(data).hexdigest(), s.feature(), s.packets, len(s.random_access), [t for _, t in s.pts],
+                         hashlib.sha256(data).hexdigest(), s.feature(), s.packets, len(s.random_access), [t for _, t in s.pts], s.random_access,
                          s.sync_errors + s.crc_errors + s.continuity_errors + s.pes_errors)
                     )
                 columns = zip(*rows, strict=True)
