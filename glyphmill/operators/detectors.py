@@ -226,7 +226,7 @@ def sites(pages: DataFrame, records: DataFrame, files: DataFrame, declared: Data
         (F.coalesce("changelog", F.lit(False)) | F.coalesce("version", F.lit(False))).alias("versioning_present"),
     )
     n = F.size("components").cast("long")
-    cover = F.struct(n.alias("components_detected"), n.alias("components_evaluated"), F.lit(False).alias("crawl_limited"), F.col("found").alias("pages_found"), F.col("failed").alias("pages_failed"))
+    cover = F.struct(n.alias("components_detected"), n.alias("components_evaluated"), F.lit(False).alias("crawl_limited"), F.col("found").alias("pages_found"), F.col("retrieved").alias("pages_retrieved"), F.col("failed").alias("pages_failed"))
     j = j.withColumn("access", access).withColumn("documentation", docs).withColumn("coverage", cover).withColumn("pattern_pages_read", F.coalesce("pattern_pages_read", F.lit(False)))
     bad = F.array().cast("array<struct<component:string,field:string,sources:array<string>,evidence_ids:array<string>,values:string>>")
     j = criteria(j).withColumn("contradictions", bad)
