@@ -108,6 +108,36 @@ def patterns(seen: DataFrame, pages: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
+def evidence(comps: DataFrame, toks: DataFrame, pats: DataFrame) -> DataFrame:
+    """(site_id, id, source, location, content, type, component, section, retrieval_method, confidence, identity): what each fact rests on,
+    numbered within a site: components by identity, then tokens, then patterns. A component gives a row for each thing said of it."""
+    none, c = F.lit(None).cast("string"), F.col("component")
+
+    def said(kind: str, section: str, texts: Column) -> Column:
+        return F.transform(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != "")), lambda t: F.struct(F.lit(kind).alias("type"), F.lit(section).alias("section"), t.alias("content")))
+
+    use = c["usage"]
+    props = F.transform(c["props"], lambda x: F.concat_ws(": ", x["name"], x["type"]))
+    states = F.transform(F.filter(c["states"], lambda x: x["status"] == "FOUND"), lambda x: x["name"])
+    facts = F.concat(
+        said("documentation", "purpose", F.array(use["purpose"])), said("usage", "when_to_use", F.array(use["when_to_use"])), said("usage", "when_not_to_use", F.array(use["when_not_to_use"])),
+        said("restriction", "restrictions", use["restrictions"]), said("usage", "disambiguation", use["disambiguation_rules"]), said("prop", "props", props),
+        said("variant", "variants", c["variants"]), said("state", "states", states),
+    )
+    blank = F.array(F.struct(F.lit("documentation").alias("type"), none.alias("section"), none.alias("content")))
+    of_comps = comps.withColumn("facts", F.when(c["evaluation_status"] == "NOT_EVALUABLE", blank).otherwise(facts)).select(
+        "site_id", F.lit(0).alias("part"), F.col("identity").alias("key"), F.posexplode("facts").alias("n", "f"), "source", none.alias("location"), c["name"].alias("component"), "identity"
+    )
+    of_comps = of_comps.select("site_id", "part", "key", "n", "source", "location", "f.content", "f.type", "component", "f.section", "identity")
+    of_toks = toks.select("site_id", F.lit(1).alias("part"), F.col("name").alias("key"), F.lit(0).alias("n"), none.alias("source"), F.col("name").alias("location"),
+                          F.to_json(F.struct("value", F.col("intent").alias("description"))).alias("content"), F.lit("token").alias("type"), none.alias("component"), F.col("name").alias("section"), none.alias("identity"))
+    of_pats = pats.select("site_id", F.lit(2).alias("part"), F.col("url").alias("key"), F.lit(0).alias("n"), F.col("url").alias("source"), F.col("name").alias("location"),
+                          F.when(F.size("components") > 0, F.array_join("components", ", ")).alias("content"), F.lit("pattern").alias("type"), none.alias("component"), F.lit("pattern").alias("section"), none.alias("identity"))
+    every = of_comps.unionByName(of_toks).unionByName(of_pats)
+    out = relational.numbered_ids(every, ["site_id"], ["part", "key", "n"])
+    return out.select("site_id", "id", "source", "location", "content", "type", "component", "section", F.lit("html").alias("retrieval_method"), F.lit(0.6).alias("confidence"), "identity")
+
+
 def listing_facts(records: DataFrame) -> DataFrame:
     """(site_id, manifests, schemas, has_index, has_types, has_token_file, changelog): what the addresses that were read say."""
     u = F.lower("url")
@@ -188,6 +218,8 @@ def sites(pages: DataFrame, records: DataFrame, files: DataFrame, declared: Data
         F.count_if(F.col("readable") & ~F.col("rendered") & ~utility).alias("readable"), F.bool_or(F.startswith("kind", F.lit("pattern"))).alias("pattern_pages_read"),
         F.bool_or("version").alias("version"), F.bool_or("mcp").alias("mcp"),
     )
+    own = evidence(comps, toks, pats).filter("identity IS NOT NULL").groupBy("site_id", "identity").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    comps = comps.join(own, ["site_id", "identity"], "left").withColumn("component", F.col("component").withField("evidence_ids", F.coalesce("ids", F.array().cast("array<string>"))))
     by_comp = comps.groupBy("site_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("identity", "component"))), lambda x: x["component"]).alias("components"))
     token = F.struct(
         F.col("name"), text.guess_type(F.col("name")).alias("type"), F.coalesce(text.token_category(F.col("value"), F.col("name")), F.lit("primitive")).alias("category"),

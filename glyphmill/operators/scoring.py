@@ -207,13 +207,15 @@ def coverage_status(sites: DataFrame) -> DataFrame:
 
 
 def findings(sites: DataFrame, subs: DataFrame) -> DataFrame:
-    """(site_id, dimension, severity, component, status, rule, detail, ord) in order of severity within a site."""
+    """(site_id, dimension, severity, component, status, rule, detail, evidence, ord) in order of severity within a site; evidence has the ids
+    of the component's rows."""
     c = sites.select("site_id", F.posexplode_outer("components").alias("n", "x")).filter("x IS NOT NULL")
     none = F.lit(None).cast("string")
 
-    def out(df: DataFrame, dimension, severity: str, status: str, rule: str, component, detail, n) -> DataFrame:
+    def out(df: DataFrame, dimension, severity: str, status: str, rule: str, component, detail, n, ids=None) -> DataFrame:
         cells = {"dimension": dimension, "severity": F.lit(severity), "component": component, "status": F.lit(status), "rule": F.lit(rule), "detail": detail, "n": n}
-        return df.select("site_id", *[v.cast("int" if k == "n" else "string").alias(k) for k, v in cells.items()])
+        rests = F.coalesce(F.lit(None) if ids is None else ids, F.array()).cast("array<string>")
+        return df.select("site_id", *[v.cast("int" if k == "n" else "string").alias(k) for k, v in cells.items()], rests.alias("evidence"))
 
     competing, rules = F.col("x.usage.competing_components"), F.col("x.usage.disambiguation_rules")
     no_tokens = subs.filter("dimension = 'D2'").groupBy("site_id").agg(F.max("points").alias("best"), F.max(F.when(F.col("criterion") == "tokens_identifiable", F.col("points"))).alias("any"))
@@ -222,9 +224,9 @@ def findings(sites: DataFrame, subs: DataFrame) -> DataFrame:
     bad = sites.select("site_id", F.posexplode_outer("contradictions").alias("n", "x")).filter("x IS NOT NULL")
     every = [
         out(no_tokens.filter("best = 0 AND `any` = 0"), F.lit("D2"), "CRITICAL", "NOT_FOUND", "NO_TOKENS", none, none, F.lit(0)),
-        out(c.filter(_any(competing) & ~_any(rules)), F.lit("D4"), "HIGH", "FOUND", "NO_SELECTION_RULE", F.col("x.name"), F.array_join(competing, ", "), F.col("n") * 2),
-        out(c.filter(_any(F.col("x.props")) & ~_some(F.col("x.usage.purpose"))), F.lit("D4"), "MEDIUM", "NOT_FOUND", "NO_PURPOSE", F.col("x.name"), none, F.col("n") * 2 + 1),
-        out(bad, F.when(F.startswith("x.field", F.lit("token")), "D2").otherwise("D3"), "HIGH", "FOUND", "CONTRADICTION", F.col("x.component"), F.col("x.values"), F.col("n") + 1_000_000),
+        out(c.filter(_any(competing) & ~_any(rules)), F.lit("D4"), "HIGH", "FOUND", "NO_SELECTION_RULE", F.col("x.name"), F.array_join(competing, ", "), F.col("n") * 2, F.col("x.evidence_ids")),
+        out(c.filter(_any(F.col("x.props")) & ~_some(F.col("x.usage.purpose"))), F.lit("D4"), "MEDIUM", "NOT_FOUND", "NO_PURPOSE", F.col("x.name"), none, F.col("n") * 2 + 1, F.col("x.evidence_ids")),
+        out(bad, F.when(F.startswith("x.field", F.lit("token")), "D2").otherwise("D3"), "HIGH", "FOUND", "CONTRADICTION", F.col("x.component"), F.col("x.values"), F.col("n") + 1_000_000, F.col("x.evidence_ids")),
         out(low, F.lit("D6"), "MEDIUM", "FOUND", "LOW_COVERAGE", none, none, F.lit(2_000_000)),
         *[out(excluded, F.lit(d), "LOW", "NOT_EVALUABLE", "EXCLUDED", none, F.format_string("%d of %d", F.col("all") - F.col("kept"), "all"), F.lit(3_000_000)) for d in ("D3", "D6")],
     ]
@@ -268,6 +270,6 @@ def report(sites: DataFrame) -> DataFrame:
     """One row a site: its global score, dimensions, findings and coverage."""
     subs = sub_criteria(sites)
     dims = dimension_scores(subs)
-    found = findings(sites, subs).groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("ord", "dimension", "severity", "component", "rule", "detail"))).alias("findings"))
+    found = findings(sites, subs).groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("ord", "dimension", "severity", "component", "rule", "detail", "evidence"))).alias("findings"))
     each = dims.groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("dimension", "score", "share", "status", "missing"))).alias("dimensions"))
     return global_scores(dims).join(each, "site_id").join(coverage_status(sites), "site_id").join(found, "site_id", "left")

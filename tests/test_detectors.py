@@ -77,3 +77,14 @@ def test_empty_tables(spark):
     records = spark.createDataFrame([], "site_id string, url string, status string")
     files = spark.createDataFrame([], "id long, site_id string, body string")
     assert scoring.report(detectors.sites(pages, records, files)).count() == 0
+
+
+def test_evidence_is_numbered_and_linked(site):
+    row = next(r for r in site.collect() if r.site_id == "a")
+    ids = {c.name: c.evidence_ids for c in row.components}
+    # Purpose, when to use, a restriction, a rule, two props, variants and two states of the button; a blank row of what could not be read.
+    assert len(ids["Button"]) >= 8 and len(ids["card"]) == len(ids["tabs"]) == 1
+    every = [x for own in ids.values() for x in own]
+    assert sorted(every) == [f"ev-{k:04d}" for k in range(1, len(every) + 1)]
+    found = {r.site_id: r for r in scoring.report(site).collect()}["a"].findings
+    assert found and all(f.evidence == ids.get(f.component, []) for f in found)
