@@ -96,6 +96,8 @@ def store(df: DataFrame, name: str, through: Callable[[Iterator], Iterator] | No
 
 def keep(df: DataFrame) -> DataFrame:
     """df, computed once and kept on the executors' disks."""
+    # What the session has cleared itself is let go, as a frame holds its plan in the driver.
+    _KEPT[:] = [d for d in _KEPT if d.storageLevel.useDisk]
     _KEPT.append(df.persist(StorageLevel.DISK_ONLY))
     return df
 
