@@ -63,8 +63,17 @@ def _props(components: Column) -> Column:
 
 
 def repetition(names: Column) -> Column:
-    """The share of uses whose name occurs more than once; null for no names."""
-    once = F.size(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) == 1))
+    """The share of uses whose name occurs more than once; null for no names. Sorted names are gone through once."""
+
+    def alone(s: Column) -> Column:
+        return ((s["run"] == 1) & s["name"].isNotNull()).cast("int")
+
+    def step(s: Column, name: Column) -> Column:
+        same = (s["run"] > 0) & s["name"].eqNullSafe(name)
+        return F.struct(name.alias("name"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), (s["once"] + F.when(same, 0).otherwise(alone(s))).alias("once"))
+
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("run"), F.lit(0).alias("once"))
+    once = F.aggregate(F.array_sort(names), start, step, lambda s: s["once"] + alone(s))
     return numbers.ratio(F.size(names) - once, F.size(names))
 
 

@@ -66,3 +66,14 @@ def test_groups_are_summed_over_ranges(spark):
             own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[at] is not None, r[at] if r[at] is not None else 0, r[2]))
             assert [got[r[2]] for r in own] == [(n + 1, len(own)) for n in range(len(own))]
     assert relational.in_ranges(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_repetition_of_names(spark):
+    from pyspark.sql import functions as F
+
+    from glyphmill.operators import scoring
+
+    rows = [["a"], ["a", "a"], ["a", "b", "a", "c"], [], ["x", None, "x", None, None], [None], ["b", "a", "c"]]
+    got = [r.v for r in spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, names array<string>").orderBy("k").select(scoring.repetition(F.col("names")).alias("v")).collect()]
+    want = [None if not r else sum(n is None or r.count(n) > 1 for n in r) / len(r) for r in rows]
+    assert got == want
