@@ -38,7 +38,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, documents, id_and_text, strings
+from glyphmill.llm.common import batches_of, documents, id_and_text, keep, strings
 
 # Fixed values of the base patterns.
 KINDS = ("assign", "access", "hex")
@@ -230,11 +230,20 @@ RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def ranked_words(docs: DataFrame, most: int = RANKED, least: int = LEAST_DOCUMENTS) -> list[str]:
     """The most frequent words of the texts, of 3 to LONGEST_WORD letters that stand alone, by the number of documents that have them,
-    which is at least least: what a few documents have may be a secret."""
+    which is at least least: what a few documents have may be a secret. At most most of them: as many whole classes of frequency
+    (eighths of a power of two) as fit, so that the classes' sizes, some hundred numbers, say which words to fetch."""
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\s.,;:!?\"()]+"))
     each = docs.select(F.explode(words).alias("word")).filter(F.length("word").between(3, LONGEST_WORD))
-    known = each.groupBy("word").agg(F.count("*").alias("n")).filter((F.col("n") >= least) & F.rlike("word", F.lit(r"^\p{L}+$")))
-    return [r["word"] for r in known.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = each.groupBy("word").agg(F.count("*").alias("n")).filter((F.col("n") >= least) & F.rlike("word", F.lit(r"^\p{L}+$")))
+    known = keep(counted.withColumn("class", F.floor(F.log2("n") * 8)))
+    room, lowest = most, None
+    for r in sorted(known.groupBy("class").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["class"]):
+        if r["m"] > room:
+            break
+        room, lowest = room - r["m"], r["class"]
+    if lowest is None:
+        return []
+    return [r["word"] for r in sorted(known.filter(F.col("class") >= lowest).collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, ranked: int = RANKED) -> DataFrame:

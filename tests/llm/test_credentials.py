@@ -76,6 +76,7 @@ def test_long_repeats_walks_and_placeholders_are_no_secrets():
 def test_dictionary_of_the_corpus(spark):
     docs = spark.createDataFrame([(k, "Maison blanche. password: maisonblanche pin=Rk8#" + ("z" if k == 3 else "")) for k in range(12)] + [(99, None), (100, "")], "doc_id long, text string")
     assert credentials.ranked_words(docs) == ["blanche", "maison", "maisonblanche", "password"] and credentials.ranked_words(docs.limit(0)) == []
+    assert credentials.ranked_words(docs.unionByName(docs.filter("doc_id < 6").selectExpr("doc_id + 50 AS doc_id", "'maison' AS text")), most=3) == ["maison"]
     got = {r.doc_id: r.n_guess for r in credentials.scan(docs).collect()}
     assert set(got.values()) == {0}
     assert {r.n_guess for r in credentials.scan(docs, ranked=0).filter("doc_id < 12").collect()} == {1}
