@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import tokens
-from glyphmill.llm.common import documents, keep, text_or_empty
+from glyphmill.llm.common import documents, keep, shuffle_partitions, text_or_empty
 
 CAPACITY = 2048
 BUCKETS, STRETCHES = 256, 64
@@ -304,7 +304,8 @@ def id_and_place(docs: DataFrame, stream: bool) -> DataFrame:
     else hash buckets, in which documents are ordered by doc_id."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
     if not stream:
-        return texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(BUCKETS))).withColumn("nth", F.col("doc_id"))
+        buckets = max(BUCKETS, 4 * shuffle_partitions(docs.sparkSession))  # so that the pieces of one length are dealt to as many tasks as there are
+        return texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets))).withColumn("nth", F.col("doc_id"))
     try:
         file = docs.metadataColumn("_metadata")
         part = F.coalesce(F.regexp_extract(file["file_name"], r"^part-(\d+)", 1).try_cast("long"), F.pmod(F.xxhash64(file["file_path"]), F.lit(BUCKETS)))
