@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import credentials, digest, fill_in_middle, kneser_ney, linededup, minhash, mpegts, packing, pfair, prefix_tokens, quotes, records
+from glyphmill.llm import block_max, credentials, digest, fill_in_middle, kneser_ney, linededup, minhash, mpegts, packing, pfair, prefix_tokens, quotes, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotes": quotes.op1_quotes,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": credentials.op8_secrets,
     "op9_linededup": linededup.op9_linededup,
     "op10_minhash": minhash.op10_minhash,
+    "op11_search": block_max.op11_search,
     "op12_tokencounts": prefix_tokens.op12_tokencounts,
     "op13_fillmiddle": fill_in_middle.op13_fillmiddle,
 }
@@ -42,4 +43,4 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op2_mix": pfair.ORACLE, "op9_linededup": _OP9, "op13_fillmiddle": fill_in_middle.ORACLE}
+ORACLE_SQL = {"op2_mix": pfair.ORACLE, "op9_linededup": _OP9, "op11_search": block_max.ORACLE, "op13_fillmiddle": fill_in_middle.ORACLE}
