@@ -6,11 +6,15 @@ edges are ASCII, and case folds by Unicode, as the rules of section reading ask.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
 SPACE = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+#: Stands for the < of an opening without a close; no character of a text.
+UNCLOSED = "\uffff"
 MIN_READABLE, MIN_SHELL, MAX_BODY = 200, 40, 5 * 1024 * 1024
 _B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 VERSION = [rf"(?iu){_B}(version|versi[oó]n|v){SPACE}?[0-9]+\.[0-9]+(\.[0-9]+)?{_E}", rf"(?iu){_B}(last updated|updated on|last modified|[uú]ltima actualizaci[oó]n|actualizado el){_E}", r"(?i)<time\b[^<>]*datetime="]
@@ -22,43 +26,82 @@ RESTRICTION = (
 TYPE_WORDS = "^(string|number|boolean|null|undefined|object|any|node|function|reactnode|element)$"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SPACE + "+", " "), "^ | $", "")
 
 
-def without_block(html: Column, tag: str) -> Column:
-    """Blocks of one tag, from an opening to its first close, replaced by a space. For hostile input see html_scan."""
-    return F.regexp_replace(html, rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?</{tag}\s*>", " ")
+def _open(tags: str) -> str:
+    return rf"<(?:{tags})(?=[\s/>])"
+
+
+def closed(html: Column, *tags: str) -> Column:
+    """html, where openings of tags that no close follows have UNCLOSED for their ``<``.
+
+    A pattern that looks for a close from every opening takes quadratic time on pages of unclosed tags. The close that
+    an opening needs comes after its own ``>``, so the last opening that has one is before the last ``>`` before the last close:
+    what comes later is marked, and from every other opening the pattern succeeds. Each step is linear."""
+
+    def one(tag: str) -> Callable[[Column], Column]:
+        def mark(h: Column) -> Column:
+            upto = F.regexp_extract(h, rf"(?is)^(.*>)[^>]*</{tag}\s*+>", 1)
+            rest = lambda a: F.regexp_replace(F.substr(h, F.length(a) + 1), rf"(?i)<(?={tag}[\s/>])", UNCLOSED)
+            return F.when(h.rlike("(?i)" + _open(tag)), once(upto, lambda a: F.concat(a, rest(a)))).otherwise(h)
+
+        return mark
+
+    out = html
+    for tag in tags:
+        out = once(out, one(tag))
+    return out
+
+
+def _again(text: Column) -> Column:
+    return F.replace(text, F.lit(UNCLOSED), F.lit("<"))
+
+
+def without_block(html: Column, *tags: str) -> Column:
+    """Blocks of tags, from an opening to its first close, replaced by a space; of blocks that overlap, the one that opens first."""
+    pattern = rf"(?is)<({'|'.join(tags)})(?=[\s/>])[^>]*>.*?</\1\s*>"
+    return _again(F.regexp_replace(closed(html, *tags), pattern, " "))
 
 
 def strip_tags(html: Column) -> Column:
     s = without_block(without_block(F.coalesce(html, F.lit("")), "script"), "style")
-    s = F.replace(F.regexp_replace(s, "<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" "))
-    return collapse(s)
+    # After the last > nothing is a tag; a pattern would look for one from every <.
+    upto = lambda h: F.regexp_extract(h, "(?s)^.*>", 0)
+    plain = once(s, lambda h: once(upto(h), lambda a: F.concat(F.regexp_replace(a, "<[^>]+>", " "), F.substr(h, F.length(a) + 1))))
+    return collapse(F.replace(plain, F.lit("&nbsp;"), F.lit(" ")))
 
 
 def body_of(html: Column) -> Column:
-    inner = F.regexp_extract(html, r"(?is)<body(?=[\s/>])[^>]*>(.*?)</body\s*>", 1)
-    return F.when(html.rlike(r"(?is)<body(?=[\s/>])[^>]*>.*?</body\s*>"), inner).otherwise(html)
+    def inner(h: Column) -> Column:
+        return F.when(h.rlike("(?i)" + _open("body")), F.regexp_extract(h, r"(?is)<body(?=[\s/>])[^>]*>(.*?)</body\s*>", 1)).otherwise(h)
+
+    return _again(once(closed(html, "body"), inner))
 
 
 def visible_text(html: Column) -> Column:
     """Text of the body outside menus and templates. Nav-like blocks go from the one that opens first."""
-    any_of = r"(?is)<(head|nav|header|footer|noscript|template)(?=[\s/>])[^>]*>.*?</\1\s*>"
-    return strip_tags(F.regexp_replace(body_of(F.coalesce(html, F.lit(""))), any_of, " "))
+    return strip_tags(without_block(body_of(F.coalesce(html, F.lit(""))), "head", "nav", "header", "footer", "noscript", "template"))
 
 
 def visible_text_length(html: Column) -> Column:
     return F.length(visible_text(html))
 
 
-def blocks(html: Column, tags: str) -> Column:
-    """Inner HTML of the blocks of one tag or of alternatives."""
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<({tags})(?=[\s/>])[^>]*>(.*?)</\1\s*>"), F.lit(2))
+def blocks(html: Column, *tags: str) -> Column:
+    """Inner HTML of the blocks of some tags."""
+    pattern = rf"(?is)<({'|'.join(tags)})(?=[\s/>])[^>]*>(.*?)</\1\s*>"
+    return F.transform(F.regexp_extract_all(closed(F.coalesce(html, F.lit("")), *tags), F.lit(pattern), F.lit(2)), _again)
 
 
 def headings(html: Column) -> Column:
-    return F.filter(F.transform(blocks(html, "h[1-3]"), strip_tags), lambda t: t != "")
+    return F.filter(F.transform(blocks(html, "h1", "h2", "h3"), strip_tags), lambda t: t != "")
 
 
 def code_blocks(html: Column) -> Column:
@@ -67,9 +110,9 @@ def code_blocks(html: Column) -> Column:
 
 def first_paragraph(html: Column) -> Column:
     """The first paragraph after the first h1-h3, or the first of all; null if it has no text."""
-    rest = F.regexp_replace(html, r"(?is)^.*?<(h[1-3])(?=[\s/>])[^>]*>.*?</\1\s*>", "")
-    text = strip_tags(F.regexp_extract(rest, r"(?is)<p(?=[\s/>])[^>]*>(.*?)</p\s*>", 1))
-    return F.when(text != "", text)
+    rest = _again(F.regexp_replace(closed(html, "h1", "h2", "h3"), r"(?is)^.*?<(h[1-3])(?=[\s/>])[^>]*>.*?</\1\s*>", ""))
+    text = strip_tags(_again(F.regexp_extract(closed(rest, "p"), r"(?is)<p(?=[\s/>])[^>]*>(.*?)</p\s*>", 1)))
+    return once(text, lambda t: F.when(t != "", t))
 
 
 def links(html: Column) -> Column:
