@@ -1,9 +1,7 @@
-"""Operational limits over event tables, and the streaming twin of the rate limit."""
+"""Operational limits over event tables. ``stateful`` has the streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,28 +50,3 @@ def sessions(events: DataFrame, key: str, ts: str, tie: str, seconds: int = 600)
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
     new = F.when(gap.isNull() | (gap >= seconds * 1_000_000), 1).otherwise(0)
     return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def rate_limited_stream(stream: DataFrame, limit: int = 5, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
-    """The rate limit on a stream of (key string, ts timestamp, id long): (key, ts, id, rejected). The state of a key is the
-    times of its last span; a key without events for a span is evicted."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(frames).sort_values(["ts", "id"])
-        flags = []
-        for t in rows["ts"].astype("int64") // 1000 if rows["ts"].dtype == "datetime64[ns]" else rows["ts"].astype("datetime64[us]").astype("int64"):
-            recent = [x for x in recent if t - x < seconds * 1_000_000] + [int(t)]
-            flags.append(len(recent) > limit)
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(recent[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy(), "id": rows["id"].to_numpy(), "rejected": flags})
-
-    return stream.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(
-        step, "key string, ts timestamp, id long, rejected boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )

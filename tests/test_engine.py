@@ -173,18 +173,3 @@ def test_scores(spark):
     places = [r.criterion for r in scoring.certainty(subs).filter("site_id = 's'").orderBy("place").limit(1).collect()]
     assert places == ["api_consistency"]
     assert scoring.report(df).count() == 5
-
-
-def test_rate_limit_stream(spark, tmp_path):
-    from glyphmill.streaming import limits
-
-    spark.conf.set("spark.sql.streaming.checkpointLocation", str(tmp_path / "state"))
-    rows = [("a", f"2024-01-01 00:00:{s:02d}", s) for s in range(7)] + [("a", "2024-01-01 00:01:00", 60)]
-    df = spark.createDataFrame(rows, "key string, ts string, id long").withColumn("ts", F.to_timestamp("ts"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    batch = {r.id: r.rejected for r in limits.rate_limited(df, "key", "ts", "id").collect()}
-    q = limits.rate_limited_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("limited").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r.id: r.rejected for r in spark.table("limited").collect()} == batch
-    assert [k for k, v in batch.items() if v] == [5, 6, 60]
