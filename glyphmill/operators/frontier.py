@@ -21,13 +21,30 @@ def by_depth(pages: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
     return pages.withColumn("status", F.when(F.col("depth") > most, "OUT_OF_SCOPE").otherwise("PENDING"))
 
 
-def within_budget(rows: DataFrame, keys: list[str], order: list, pages: int, millis: int) -> DataFrame:
-    """Adds inside, limited and time_limited: a row is read while fewer than pages rows came before it, in less than millis (ms)."""
+def within_budget(rows: DataFrame, keys: list[str], order: list[str], pages: int, millis: int, extra: int = 0, starts: str | None = None) -> DataFrame:
+    """Adds inside, limited and time_limited: a row is read while fewer than pages rows came before it, in less than millis (ms). The first row
+    that is read with starts set lengthens the time by extra, once, for the rows after it.
+
+    Only the first pages rows of a group can be inside, and Spark keeps no more of a group before it shuffles; what they say, the last row inside
+    and the last one that counts, is joined to all rows. The order's columns tell rows of a group apart."""
+    place = F.struct(*order)
     w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.row_number().over(w) - 1
-    spent = F.coalesce(F.sum("ms").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    late = (spent >= millis) & (before < pages)
-    return rows.withColumn("inside", (before < pages) & (spent < millis)).withColumn("time_limited", late).withColumn("limited", ~F.col("inside"))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    first = relational.top_per(rows, keys, order, pages).withColumn("_spent", F.coalesce(F.sum("ms").over(earlier), F.lit(0)))
+    opens = (F.col("_spent") < millis) & F.coalesce(F.col(starts), F.lit(False)) if starts else F.lit(False)
+    longer = F.coalesce(F.bool_or("_opens").over(earlier), F.lit(False))
+    read = first.withColumn("_opens", opens).withColumn("_read", F.col("_spent") < F.when(longer, millis + extra).otherwise(millis))
+    ends = read.groupBy(*keys).agg(F.max(F.when(F.col("_read"), place)).alias("_inside"), F.max(place).alias("_counted"))
+    ends = ends.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], "_inside", "_counted")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)])
+    inside = F.coalesce(place <= F.col("_inside"), F.lit(False))
+    out = rows.join(ends, same).withColumn("inside", inside).withColumn("limited", ~F.col("inside"))
+    return out.withColumn("time_limited", F.col("limited") & (place <= F.col("_counted"))).drop("_inside", "_counted", *[f"_key{n}" for n in range(len(keys))])
+
+
+def limits_reached(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``within_budget`` says of each group: (keys, crawl_limited, time_limited)."""
+    return rows.groupBy(*keys).agg(F.bool_or("limited").alias("crawl_limited"), F.bool_or("time_limited").alias("time_limited"))
 
 
 def reached(links: DataFrame, entries: DataFrame, most: int = MAX_DEPTH) -> DataFrame:

@@ -161,14 +161,26 @@ def source_reasons(spark, sf):
     return e.select("event_id", requests.reason_key(F.element_at(codes, (e.event_id % 6 + 1).cast("int"))).alias("reason"))
 
 
-@query("I07_budgets", f"""
-  SELECT page_id, before < 9 AND spent < 3000 AS inside, before < 9 AND spent >= 3000 AS time_limited FROM (SELECT page_id,
-    row_number() OVER (PARTITION BY {_d_host()} ORDER BY page_id) - 1 AS before,
-    coalesce(sum(page_id % 900) OVER (PARTITION BY {_d_host()} ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM pages)""")
-def budgets(spark, sf):
+_BUDGET = f"""WITH r AS (SELECT page_id, {_d_host()} AS site_id, page_id % 900 AS ms, page_id % 11 = 0 AS starts FROM pages),
+  s AS (SELECT *, row_number() OVER w - 1 AS before, coalesce(sum(ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM r WINDOW w AS (PARTITION BY site_id ORDER BY page_id)),
+  x AS (SELECT *, coalesce(bool_or(starts AND before < 9 AND spent < 1500) OVER (PARTITION BY site_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS longer FROM s),
+  f AS (SELECT *, before < 9 AND spent < CASE WHEN longer THEN 2700 ELSE 1500 END AS inside FROM x)"""
+
+
+def _budget(spark, sf):
     p = _t(spark, sf, "pages")
-    rows = p.select("page_id", urls.host(p.url).alias("site_id"), (p.page_id % 900).alias("ms"))
-    return frontier.within_budget(rows, ["site_id"], ["page_id"], 9, 3000).select("page_id", "inside", "time_limited")
+    rows = p.select("page_id", urls.host(p.url).alias("site_id"), (p.page_id % 900).alias("ms"), (p.page_id % 11 == 0).alias("starts"))
+    return frontier.within_budget(rows, ["site_id"], ["page_id"], 9, 1500, 1200, "starts")
+
+
+@query("I07_budgets", f"{_BUDGET} SELECT page_id, inside, NOT inside AND before < 9 AS time_limited FROM f")
+def budgets(spark, sf):
+    return _budget(spark, sf).select("page_id", "inside", "time_limited")
+
+
+@query("I07_limits_reached", f"{_BUDGET} SELECT site_id, bool_or(NOT inside) AS crawl_limited, bool_or(NOT inside AND before < 9) AS time_limited FROM f GROUP BY 1")
+def limits_reached(spark, sf):
+    return frontier.limits_reached(_budget(spark, sf), ["site_id"])
 
 
 @query("I08_frontier", """
