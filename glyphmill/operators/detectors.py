@@ -43,12 +43,13 @@ def _all(values: Column, order: Column, of: Column) -> Column:
 
 
 def components(seen: DataFrame, records: DataFrame) -> DataFrame:
-    """(site_id, identity, source, component): one for all tabs of a component, and one that can't be evaluated for each whose pages all failed."""
+    """(site_id, identity, source, component, prop_sources): one for all tabs of a component, and one that can't be evaluated for each whose pages all failed.
+    prop_sources has the page of each prop."""
     tabs = seen.filter(F.col("is_html") & urls.is_component_page(F.col("url"))).withColumn("identity", urls.component_identity(F.col("url")))
     last = urls.last_segment(F.col("url"))
     tabs = tabs.withColumn("order", F.struct(F.array_position(F.array(*map(F.lit, urls.TAB_ORDER)), last).alias("rank"), F.length("url").alias("n"), F.col("url")))
     o, ok = F.col("order"), F.col("readable")
-    prop = F.transform("f.props", lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), p["description"].alias("description"), text.allowed_values(p["type"]).alias("allowed_values"), p["default"].alias("default")))
+    prop = F.transform("f.props", lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), p["description"].alias("description"), text.allowed_values(p["type"]).alias("allowed_values"), p["default"].alias("default"), F.col("url").alias("source")))
     accessible = F.col("f.has_accessibility") | last.isin("accessibility", "accesibilidad")
     g = tabs.groupBy("site_id", "identity").agg(
         F.min_by("url", o).alias("source"), F.min_by("f.title", o).alias("title"), F.bool_or(ok).alias("ok"), F.min_by("f.lead", o).alias("lead"),
@@ -62,6 +63,7 @@ def components(seen: DataFrame, records: DataFrame) -> DataFrame:
     own = F.filter("props", lambda p, k: F.array_position(names, p["name"]) == k + 1)
     listed = F.flatten(F.transform(F.filter("props", lambda p: p["name"].rlike(VARIANT_PROPS)), lambda p: p["allowed_values"]))
     none = F.array().cast("array<string>")
+    plain = F.transform(own, lambda p: F.struct(*[p[k].alias(k) for k in ("name", "type", "description", "allowed_values", "default")]))
     state = F.transform(F.array_distinct("states"), lambda s: F.struct(s.alias("name"), F.lit("FOUND").alias("status")))
     absent = F.array(F.struct(F.lit("states").alias("name"), F.lit("NOT_FOUND").alias("status")))
     rules = F.array_distinct("rules")
@@ -69,7 +71,7 @@ def components(seen: DataFrame, records: DataFrame) -> DataFrame:
         "site_id", "identity", "source",
         F.struct(
             F.coalesce(text.component_name(F.col("title"), F.col("identity")), urls.path_to_name(F.col("source"))).alias("name"), F.when(F.col("ok"), F.col("lead")).alias("description"),
-            F.when(~F.col("ok"), "NOT_EVALUABLE").alias("evaluation_status"), own.alias("props"), F.array_union("variants", F.coalesce(listed, none)).alias("variants"),
+            F.when(~F.col("ok"), "NOT_EVALUABLE").alias("evaluation_status"), plain.alias("props"), F.array_union("variants", F.coalesce(listed, none)).alias("variants"),
             F.when(~F.col("ok"), F.array()).when(F.size("states") > 0, state).otherwise(absent).alias("states"),
             F.struct(
                 F.when(F.col("ok"), F.col("lead")).alias("purpose"), "when_to_use", "when_not_to_use", F.array_distinct(F.transform(rules, lambda r: r["competitor"])).alias("competing_components"),
@@ -78,64 +80,108 @@ def components(seen: DataFrame, records: DataFrame) -> DataFrame:
             F.col("composition").alias("composition"), F.col("accessibility").alias("accessibility"), F.coalesce("code", F.lit(0)).alias("code_examples_count"),
             F.coalesce("live", F.lit(0)).alias("executable_examples_count"), none.alias("evidence_ids"),
         ).alias("component"),
+        F.transform(own, lambda p: p["source"]).alias("prop_sources"),
     )
     lost = records.filter((F.col("status") == "FAILED") & urls.is_component_page(F.col("url"))).withColumn("identity", urls.component_identity(F.col("url")))
     lost = lost.join(g.select("site_id", "identity"), ["site_id", "identity"], "left_anti").groupBy("site_id", "identity").agg(F.min("url").alias("source"))
     kind = found.schema["component"].dataType
     blank = F.from_json(F.to_json(F.struct(F.col("identity").alias("name"), F.lit("NOT_EVALUABLE").alias("evaluation_status"))), kind)
-    return found.unionByName(lost.select("site_id", "identity", "source", blank.alias("component")))
+    return found.unionByName(lost.select("site_id", "identity", "source", blank.alias("component")), allowMissingColumns=True)
 
 
 def tokens(seen: DataFrame, files: DataFrame) -> DataFrame:
-    """(site_id, name, value, intent, origin): those of JSON files, all of them, then those of tables whose names JSON lacks, once each."""
-    leaf = json_tokens.flatten(files.select("id", "body")).join(files.select("id", "site_id"), "id")
-    structured = leaf.select("site_id", "name", "value", "intent", F.lit("json").alias("origin"))
-    rows = seen.select("site_id", "url", F.posexplode("f.tokens").alias("n", "t")).select("site_id", "url", "n", "t.*")
+    """(site_id, name, value, intent, origin, source, confidence, nth): those of JSON files (id, site_id, body, and url if there is one), all of them, then
+    those of tables whose names JSON lacks, once each; nth is their order."""
+    at = F.col("url") if "url" in files.columns else F.lit(None).cast("string")
+    leaf = json_tokens.flatten(files.select("id", "body")).join(files.select("id", "site_id", at.alias("source")), "id")
+    place = lambda origin, *by: F.struct(F.lit(origin).alias("origin"), *by).alias("nth")
+    structured = leaf.select("site_id", "name", "value", "intent", F.lit("json").alias("origin"), "source", "confidence", place(0, F.col("source").alias("page"), F.col("id").cast("string").alias("file"), F.lit(0).cast("long").alias("n"), F.col("name").alias("name")))
+    rows = seen.select("site_id", "url", F.posexplode("f.tokens").alias("n", "t")).select("site_id", "url", F.col("n").cast("long").alias("n"), "t.*")
     extra = relational.first_per(rows.join(structured.select("site_id", "name").distinct(), ["site_id", "name"], "left_anti"), ["site_id", "name"], ["url", "n"])
     intents = rows.filter("intent IS NOT NULL").groupBy("site_id", "name").agg(F.min_by("intent", F.struct("url", "n")).alias("_intent"))
     structured = structured.join(intents, ["site_id", "name"], "left").withColumn("intent", F.coalesce("intent", "_intent")).drop("_intent")
-    return structured.unionByName(extra.select("site_id", "name", "value", "intent", F.lit("html_table").alias("origin")))
+    of_tables = extra.select("site_id", "name", "value", "intent", F.lit("html_table").alias("origin"), F.col("url").alias("source"), F.lit(0.6).alias("confidence"), place(1, F.col("url").alias("page"), F.lit("").alias("file"), "n", F.lit("").alias("name")))
+    return structured.unionByName(of_tables)
 
 
 def patterns(seen: DataFrame, pages: DataFrame, comps: DataFrame) -> DataFrame:
-    """(site_id, url, name, components, hierarchy, layout) of pattern pages that say something."""
-    p = seen.filter((F.col("kind") == "pattern") & F.col("is_html") & (F.col("f.text_chars") >= 40))
-    own = pages.join(p.select("site_id", "url"), ["site_id", "url"], "left_semi").select("site_id", F.col("url").alias("id"), text.visible_text(F.col("body")).alias("text"))
+    """(site_id, url, name, components, hierarchy, layout) of pattern pages that say something. What is mentioned is sought in all of a page's text."""
+    p = seen.filter((F.col("kind") == "pattern") & F.col("is_html"))
+    own = pages.join(p.select("site_id", "url"), ["site_id", "url"], "left_semi").select("site_id", F.col("url").alias("id"), text.strip_tags(F.col("body")).alias("text"))
+    own = own.filter(F.length("text") >= text.MIN_SHELL)
     said = relational.mentions(own, comps.select("site_id", F.col("component.name").alias("name"))).withColumnRenamed("id", "url")
+    p = p.join(own.select("site_id", F.col("id").alias("url")), ["site_id", "url"], "left_semi")
     return p.join(said, ["site_id", "url"], "left").select(
-        "site_id", "url", F.coalesce("f.title", urls.path_to_name(F.col("url"))).alias("name"), F.coalesce("names", F.array().cast("array<string>")).alias("components"),
-        F.when(F.col("f.has_hierarchy"), "section").alias("hierarchy"), F.when(F.col("f.has_layout"), "section").alias("layout"),
+        "site_id", "url", F.coalesce("f.title", "url").alias("name"), F.coalesce("names", F.array().cast("array<string>")).alias("components"),
+        F.when(F.col("f.has_hierarchy") | F.col("f.has_anatomy"), "section").alias("hierarchy"), F.when(F.col("f.has_layout"), "section").alias("layout"),
     )
 
 
-def evidence(comps: DataFrame, toks: DataFrame, pats: DataFrame) -> DataFrame:
-    """(site_id, id, source, location, content, type, component, section, retrieval_method, confidence, identity): what each fact rests on,
-    numbered within a site: components by identity, then tokens, then patterns. A component gives a row for each thing said of it."""
-    none, c = F.lit(None).cast("string"), F.col("component")
+#: Confidence of a fact by what it rests on (fixed values). What tokens rest on comes with them.
+SURE = {"documentation": 0.6, "usage_guideline": 0.6, "restriction": 0.6, "disambiguation": 0.5, "prop": 0.7, "accessibility": 0.6, "code_example": 0.8, "unread": 0.4, "pattern": 0.6}
+_FACT = ("source", "location", "content", "type", "section", "status", "confidence")
+
+
+def component_facts(comps: DataFrame) -> DataFrame:
+    """(site_id, identity, n, component and _FACT): a row for each thing that is said of a component, in a fixed order. comps: (site_id, identity,
+    source, component, prop_sources)."""
+    c, none, where = F.col("component"), F.lit(None).cast("string"), F.col("source")
+    use, texts = c["usage"], "array<string>"
+
+    def fact(source: Column, place: Column, content: Column, kind: str, section: str, sure: str | None = None) -> Column:
+        location = F.when(place.isNotNull(), F.concat(c["name"], F.lit(" > "), place))
+        cells = (source, location, content, F.lit(kind), F.lit(section), F.lit("FOUND"), F.lit(SURE[sure or kind]))
+        return F.struct(*[v.cast("double" if k == "confidence" else "string").alias(k) for k, v in zip(_FACT, cells, strict=True)])
+
+    def if_some(value: Column, one: Column) -> Column:
+        return F.filter(F.array(F.when(value.isNotNull() & (value != ""), one)), lambda x: x.isNotNull())
+
+    def single(value: Column, place: str, kind: str) -> Column:
+        return if_some(value, fact(where, F.lit(place), value, kind, place))
+
+    def each(values: Column, place: str, section: str, sure: str | None = None) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast(texts)), lambda t, k: fact(where, F.format_string(f"{place}[%d]", k), t, "restriction", section, sure))
 
-    def said(kind: str, section: str, texts: Column) -> Column:
-        return F.transform(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != "")), lambda t: F.struct(F.lit(kind).alias("type"), F.lit(section).alias("section"), t.alias("content")))
+    def joined(values: Column, section: str) -> Column:
+        all_ = F.array_join(values, ", ")
+        return if_some(all_, fact(where, F.lit(section), all_, "documentation", section))
 
-    use = c["usage"]
-    props = F.transform(c["props"], lambda x: F.concat_ws(": ", x["name"], x["type"]))
+    def prop(p: Column, k: Column) -> Column:
+        said = F.to_json(F.struct(p["type"].alias("type"), p["default"].alias("default")), {"ignoreNullFields": "false"})
+        return fact(F.get(F.col("prop_sources"), k), F.concat(F.lit("props > "), p["name"]), said, "prop", "props")
+
+    props = F.transform(F.coalesce(c["props"], F.array().cast(_PROPS)), prop)
     states = F.transform(F.filter(c["states"], lambda x: x["status"] == "FOUND"), lambda x: x["name"])
+    examples = F.coalesce(c["code_examples_count"], F.lit(0))
+    codes = F.when(examples > 0, F.transform(F.sequence(F.lit(0).cast("long"), examples - 1), lambda k: fact(where, F.format_string("example[%d]", k), none, "code_example", "examples")))
     facts = F.concat(
-        said("documentation", "purpose", F.array(use["purpose"])), said("usage", "when_to_use", F.array(use["when_to_use"])), said("usage", "when_not_to_use", F.array(use["when_not_to_use"])),
-        said("restriction", "restrictions", use["restrictions"]), said("usage", "disambiguation", use["disambiguation_rules"]), said("prop", "props", props),
-        said("variant", "variants", c["variants"]), said("state", "states", states),
-    )
-    blank = F.array(F.struct(F.lit("documentation").alias("type"), none.alias("section"), none.alias("content")))
-    of_comps = comps.withColumn("facts", F.when(c["evaluation_status"] == "NOT_EVALUABLE", blank).otherwise(facts)).select(
-        "site_id", F.lit(0).alias("part"), F.col("identity").alias("key"), F.posexplode("facts").alias("n", "f"), "source", none.alias("location"), c["name"].alias("component"), "identity"
+        single(c["description"], "description", "documentation"), single(use["when_to_use"], "when_to_use", "usage_guideline"), single(use["when_not_to_use"], "when_not_to_use", "usage_guideline"),
+        each(use["restrictions"], "restriction", "restrictions"), each(use["disambiguation_rules"], "disambiguation", "disambiguation_rules", "disambiguation"), props,
+        joined(c["variants"], "variants"), joined(states, "states"), if_some(c["accessibility"], fact(c["accessibility"], F.lit("accessibility"), none, "accessibility", "accessibility")),
+        F.coalesce(codes, F.array().cast(_FACTS)),
     )
-    of_comps = of_comps.select("site_id", "part", "key", "n", "source", "location", "f.content", "f.type", "component", "f.section", "identity")
-    of_toks = toks.select("site_id", F.lit(1).alias("part"), F.col("name").alias("key"), F.lit(0).alias("n"), none.alias("source"), F.col("name").alias("location"),
-                          F.to_json(F.struct("value", F.col("intent").alias("description"))).alias("content"), F.lit("token").alias("type"), none.alias("component"), F.col("name").alias("section"), none.alias("identity"))
-    of_pats = pats.select("site_id", F.lit(2).alias("part"), F.col("url").alias("key"), F.lit(0).alias("n"), F.col("url").alias("source"), F.col("name").alias("location"),
-                          F.when(F.size("components") > 0, F.array_join("components", ", ")).alias("content"), F.lit("pattern").alias("type"), none.alias("component"), F.lit("pattern").alias("section"), none.alias("identity"))
-    every = of_comps.unionByName(of_toks).unionByName(of_pats)
-    out = relational.numbered_ids(every, ["site_id"], ["part", "key", "n"])
-    return out.select("site_id", "id", "source", "location", "content", "type", "component", "section", F.lit("html").alias("retrieval_method"), F.lit(0.6).alias("confidence"), "identity")
+    unread = F.array(F.struct(*[v.cast("double" if k == "confidence" else "string").alias(k) for k, v in zip(_FACT, (where, none, none, F.lit("documentation"), none, F.lit("NOT_EVALUABLE"), F.lit(SURE["unread"])), strict=True)]))
+    out = comps.withColumn("_facts", F.when(c["evaluation_status"] == "NOT_EVALUABLE", unread).otherwise(facts))
+    return out.select("site_id", "identity", c["name"].alias("component"), F.posexplode("_facts").alias("n", "f")).select("site_id", "identity", F.col("n").cast("long").alias("n"), "component", "f.*")
+
+
+_PROPS = "array<struct<name:string,type:string,description:string,allowed_values:array<string>,default:string>>"
+_FACTS = "array<struct<" + ",".join(f"{k}:{'double' if k == 'confidence' else 'string'}" for k in _FACT) + ">>"
+
+
+def evidence(comps: DataFrame, toks: DataFrame, pats: DataFrame) -> DataFrame:
+    """(site_id, id, source, location, content, type, component, section, version, retrieval_method, confidence, status, identity): what each fact
+    rests on, numbered within a site: components by identity, then tokens, then patterns."""
+    none = F.lit(None).cast("string")
+    order = F.struct(F.lit(None).cast("int").alias("origin"), none.alias("page"), none.alias("file"), F.lit(None).cast("long").alias("n"), none.alias("name"))
+    of_comps = component_facts(comps).select("site_id", F.lit(0).alias("part"), F.col("identity").alias("key"), order.withField("n", F.col("n")).alias("nth"), *_FACT, "component", F.lit("html").alias("retrieval_method"), "identity")
+    told = F.to_json(F.struct("value", F.col("intent").alias("description")), {"ignoreNullFields": "false"})
+    of_toks = toks.select("site_id", F.lit(1).alias("part"), F.lit("").alias("key"), "nth", "source", F.col("name").alias("location"), told.alias("content"), F.lit("token").alias("type"), F.col("name").alias("section"),
+                          F.lit("FOUND").alias("status"), "confidence", none.alias("component"), F.when(F.col("origin") == "json", "json").otherwise("html").alias("retrieval_method"), none.alias("identity"))
+    of_pats = pats.select("site_id", F.lit(2).alias("part"), F.col("url").alias("key"), order.alias("nth"), F.col("url").alias("source"), F.col("name").alias("location"), F.when(F.size("components") > 0, F.array_join("components", ", ")).alias("content"),
+                          F.lit("pattern").alias("type"), F.lit("pattern").alias("section"), F.lit("FOUND").alias("status"), F.lit(SURE["pattern"]).alias("confidence"), none.alias("component"), F.lit("html").alias("retrieval_method"), none.alias("identity"))
+    out = relational.numbered_ids(of_comps.unionByName(of_toks).unionByName(of_pats), ["site_id"], ["part", "key", "nth"])
+    return out.select("site_id", "id", "source", "location", "content", "type", "component", "section", none.alias("version"), "retrieval_method", "confidence", "status", "identity")
 
 
 def listing_facts(records: DataFrame) -> DataFrame:
@@ -204,8 +250,8 @@ def criteria(sites: DataFrame) -> DataFrame:
     return sites.withColumn("criteria", F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())))
 
 
-def sites(pages: DataFrame, records: DataFrame, files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """One row a site that scoring.report takes. Bodies are left behind after one scan; the rest is joined by site."""
+def sites(pages: DataFrame, records: DataFrame, files: DataFrame, declared: DataFrame | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """One row a site that scoring.report takes; limits (site_id, crawl_limited) as ``frontier.limits_reached`` finds them. Bodies are left behind after one scan; the rest is joined by site."""
     seen = cut(read(pages))
     comps, toks = cut(components(seen, records)), cut(tokens(seen, files))
     pats = patterns(seen, pages, comps)
@@ -230,7 +276,10 @@ def sites(pages: DataFrame, records: DataFrame, files: DataFrame, declared: Data
     by_pattern = pats.groupBy("site_id").agg(F.sort_array(F.collect_list(pattern)).alias("patterns"))
     if declared is None:
         declared = records.sparkSession.createDataFrame([], "site_id string, method string, llms_txt string, has_storybook boolean, has_code boolean, patterns_found long")
-    parts = [read_, by_comp, by_token, by_pattern, listing_facts(records), tokens_status(seen, records, toks), declared]
+    if limits is None:
+        limits = records.sparkSession.createDataFrame([], "site_id string, crawl_limited boolean")
+    limits = limits.groupBy("site_id").agg(F.bool_or("crawl_limited").alias("crawl_limited"))
+    parts = [limits, read_, by_comp, by_token, by_pattern, listing_facts(records), tokens_status(seen, records, toks), declared]
     j = reduce(lambda x, y: x.join(y, "site_id", "left"), parts, tried)
     for name in ("components", "tokens", "patterns"):
         j = j.withColumn(name, F.coalesce(F.col(name), F.array()).cast(_TYPES[name]))
@@ -258,7 +307,7 @@ def sites(pages: DataFrame, records: DataFrame, files: DataFrame, declared: Data
         (F.coalesce("changelog", F.lit(False)) | F.coalesce("version", F.lit(False))).alias("versioning_present"),
     )
     n = F.size("components").cast("long")
-    cover = F.struct(n.alias("components_detected"), n.alias("components_evaluated"), F.lit(False).alias("crawl_limited"), F.col("found").alias("pages_found"), F.col("retrieved").alias("pages_retrieved"), F.col("failed").alias("pages_failed"))
+    cover = F.struct(n.alias("components_detected"), n.alias("components_evaluated"), F.coalesce("crawl_limited", F.lit(False)).alias("crawl_limited"), F.col("found").alias("pages_found"), F.col("retrieved").alias("pages_retrieved"), F.col("failed").alias("pages_failed"))
     j = j.withColumn("access", access).withColumn("documentation", docs).withColumn("coverage", cover).withColumn("pattern_pages_read", F.coalesce("pattern_pages_read", F.lit(False)))
     bad = F.array().cast("array<struct<component:string,field:string,sources:array<string>,evidence_ids:array<string>,values:string>>")
     j = criteria(j).withColumn("contradictions", bad)

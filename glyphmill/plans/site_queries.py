@@ -75,6 +75,53 @@ def public_sources(spark, sf):
     return site_documents.public_sources(rows).select(F.col("url").alias("doc_id"), F.array_join("headings", "|").alias("headings"))
 
 
+def _facts_sql() -> str:
+    """One SELECT a kind of fact of the parts as components, in the order of the rows of a component."""
+    name, said = "CAST(p_partkey AS VARCHAR)", "p_partkey % 7 <> 0"
+    kinds = [
+        ("'description'", "p_name", "'documentation'", "'description'", 0.6, said),
+        ("'when_to_use'", "p_type", "'usage_guideline'", "'when_to_use'", 0.6, f"{said} AND p_size % 2 = 0"),
+        ("'restriction[0]'", "'Never ' || p_name", "'restriction'", "'restrictions'", 0.6, f"{said} AND p_size % 3 = 0"),
+        ("'restriction[1]'", "'Avoid ' || p_type", "'restriction'", "'restrictions'", 0.6, f"{said} AND p_size % 3 = 0"),
+        ("'disambiguation[0]'", "'Use ' || p_brand", "'restriction'", "'disambiguation_rules'", 0.5, f"{said} AND p_size % 5 = 0"),
+        ("'props > size'", "'{\"type\":\"' || p_type || '\",\"default\":null}'", "'prop'", "'props'", 0.7, f"{said} AND p_size % 2 = 1"),
+        ("'variants'", "p_brand || ', ' || p_type", "'documentation'", "'variants'", 0.6, f"{said} AND p_size % 4 = 0"),
+        ("'states'", "'hover'", "'documentation'", "'states'", 0.6, f"{said} AND p_size % 4 = 1"),
+        ("'accessibility'", "NULL", "'accessibility'", "'accessibility'", 0.6, f"{said} AND p_size % 6 = 0"),
+        ("'example[0]'", "NULL", "'code_example'", "'examples'", 0.8, f"{said} AND p_size % 3 > 0"), ("'example[1]'", "NULL", "'code_example'", "'examples'", 0.8, f"{said} AND p_size % 3 > 1"),
+    ]
+    rows = [
+        f"SELECT p_partkey, p_brand AS site_id, {k} AS k, {name} || ' > ' || {loc} AS location, {content} AS content, {kind} AS type, {section} AS section, 'FOUND' AS status, {sure}::DOUBLE AS confidence FROM part WHERE {test}"
+        for k, (loc, content, kind, section, sure, test) in enumerate(kinds)
+    ]
+    blank = "SELECT p_partkey, p_brand AS site_id, 0 AS k, NULL AS location, NULL AS content, 'documentation' AS type, NULL AS section, 'NOT_EVALUABLE' AS status, 0.4::DOUBLE AS confidence FROM part WHERE p_partkey % 7 = 0"
+    number = "row_number() OVER (PARTITION BY site_id ORDER BY lpad(CAST(p_partkey AS VARCHAR), 12, '0'), k)"
+    return f"""
+  SELECT site_id, 'ev-' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS id, CAST(p_partkey AS VARCHAR) AS component, location, content, type, section, status, confidence
+  FROM (SELECT *, {number} AS n FROM ({' UNION ALL '.join(rows + [blank])}))"""
+
+
+@query("E06_component_evidence", _facts_sql())
+def component_evidence(spark, sf):
+    """Parts as the components of a site for each brand."""
+    p = _t(spark, sf, "part")
+    when = lambda test, value: F.when(F.expr(test), value)
+    prop = F.struct(F.lit("size").alias("name"), p.p_type.alias("type"), F.lit(None).alias("description"), F.array().alias("allowed_values"), F.lit(None).alias("default"))
+    cells = {
+        "name": p.p_partkey.cast("string"), "description": p.p_name, "evaluation_status": when("p_partkey % 7 = 0", F.lit("NOT_EVALUABLE")), "props": when("p_size % 2 = 1", F.array(prop)),
+        "variants": when("p_size % 4 = 0", F.array(p.p_brand, p.p_type)), "states": F.array(F.struct(F.lit("hover").alias("name"), when("p_size % 4 = 1", F.lit("FOUND")).alias("status"))),
+        "usage": F.struct(F.lit(None).alias("purpose"), when("p_size % 2 = 0", p.p_type).alias("when_to_use"), F.lit(None).alias("when_not_to_use"), F.array().alias("competing_components"),
+                          when("p_size % 5 = 0", F.array(F.concat(F.lit("Use "), p.p_brand))).alias("disambiguation_rules"), when("p_size % 3 = 0", F.array(F.concat(F.lit("Never "), p.p_name), F.concat(F.lit("Avoid "), p.p_type))).alias("restrictions")),
+        "composition": F.array(), "accessibility": when("p_size % 6 = 0", p.p_brand), "code_examples_count": p.p_size % 3, "executable_examples_count": F.lit(0), "evidence_ids": F.array(),
+    }
+    kind = detectors._TYPES["components"].removeprefix("array<").removesuffix(">")
+    comps = p.select(p.p_brand.alias("site_id"), F.lpad(p.p_partkey.cast("string"), 12, "0").alias("identity"), p.p_brand.alias("source"), F.struct(*[v.alias(k) for k, v in cells.items()]).cast(kind).alias("component"), F.array(p.p_brand).alias("prop_sources"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    toks = none("site_id string, name string, value string, intent string, origin string, source string, confidence double, nth struct<origin:int,page:string,file:string,n:long,name:string>")
+    pats = none("site_id string, url string, name string, components array<string>")
+    return detectors.evidence(comps, toks, pats).select("site_id", "id", "component", "location", "content", "type", "section", "status", "confidence")
+
+
 @query("C02_token_evidence", """
   SELECT l_orderkey, first(p_brand ORDER BY l_linenumber, l_partkey) FILTER (WHERE p_partkey % 2 = 0) AS source
   FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""")

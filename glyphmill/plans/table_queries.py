@@ -65,6 +65,23 @@ def flatten_json(spark, sf):
     return rows.select(F.col("id").alias("event_id"), "name", "value", "confidence", text.guess_type(F.col("name")).alias("type"))
 
 
+_BODY = """'{"name":"' || p_name || '","brand":{"' || p_brand || '":{"$value":"' || p_type || '","description":"' || p_name || '"},"n":' || p_size || '},"list":[' || p_size
+  || ',"x",{"value":' || p_size || '.5},true,null,[["y"]]],"deep":{"a":{"b":{"c":{"value":null,"$value":"v"}}}},"flag":false,"version":"1","box":{"version":"2"},"e-1":"' || p_type || '"}'"""
+
+
+@query("A13_H40_nested_tokens", rf"""
+  WITH b AS (SELECT p_partkey, {_BODY} AS body FROM part),
+  t AS (SELECT p_partkey, j.*, j.type = 'OBJECT' AND (json_exists(j.value, '$.value') OR json_exists(j.value, '$."$value"')) AS token FROM b, json_tree(b.body) j),
+  own AS (SELECT t.* FROM t LEFT JOIN t u ON u.p_partkey = t.p_partkey AND u.id = t.parent WHERE NOT coalesce(u.token, false))
+  SELECT p_partkey, replace(regexp_replace(substr(fullkey, 3), '\[(\d+)\]', '.\1', 'g'), '"', '') AS name,
+         CASE WHEN token THEN coalesce(value ->> '$.value', value ->> '$."$value"') ELSE value ->> '$' END AS value,
+         CASE WHEN token THEN value ->> '$.description' END AS intent, CASE WHEN token THEN 1.0 ELSE 0.8 END::DOUBLE AS confidence
+  FROM own WHERE token OR (type IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') AND NOT (path = '$' AND key IN ('$schema', 'version', 'name', 'description')))""")
+def nested_tokens(spark, sf):
+    body = F.expr(_BODY)
+    return json_tokens.flatten(_t(spark, sf, "part").select(F.col("p_partkey").alias("id"), body.alias("body"))).withColumnRenamed("id", "p_partkey")
+
+
 @query("A13_token_json", "SELECT event_id FROM events WHERE json_valid(props) AND json_type(props) = 'OBJECT'")
 def token_json(spark, sf):
     e = _t(spark, sf, "events")

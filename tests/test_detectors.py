@@ -88,3 +88,46 @@ def test_evidence_is_numbered_and_linked(site):
     assert sorted(every) == [f"ev-{k:04d}" for k in range(1, len(every) + 1)]
     found = {r.site_id: r for r in scoring.report(site).collect()}["a"].findings
     assert found and all(f.evidence == ids.get(f.component, []) for f in found)
+
+
+def test_evidence_rows_by_their_rules(spark):
+    at = "https://a.com"
+    gallery = page("<h1>Gallery</h1><h2>Anatomy</h2><p>A frame, a picture and a caption below it.</p><nav>Uses the button</nav>")
+    bodies = [("/components/button/", BUTTON), ("/components/button/api", BUTTON_API), ("/components/card", "<html></html>"), ("/foundations/color", COLOR), ("/patterns/gallery", gallery), ("/patterns/none", "<p>short</p>")]
+    pages = spark.createDataFrame([("a", at + u, "text/html", b, False) for u, b in bodies], "site_id string, url string, content_type string, body string, rendered boolean")
+    records = pages.select("site_id", "url", F.lit("CRAWLED").alias("status"))
+    files = spark.createDataFrame([(1, "a", at + "/tokens.json", '{"color": {"bg": {"$value": "#fff"}}, "gap": "4px"}')], "id long, site_id string, url string, body string")
+    seen = detectors.read(pages)
+    comps, toks = detectors.components(seen, records), detectors.tokens(seen, files)
+    pats = detectors.patterns(seen, pages, comps)
+    assert [(p.name, p.components, p.hierarchy) for p in pats.collect()] == [("Gallery", ["button"], "section")]
+    rows = sorted(detectors.evidence(comps, toks, pats).collect(), key=lambda r: r.id)
+    main, api = at + "/components/button/", at + "/components/button/api"
+    b, rule = "Button", "Use a link instead"
+    want = [
+        (main, f"{b} > description", "A button starts an action.", "documentation", b, "description", "html", 0.6, "FOUND"),
+        (main, f"{b} > when_to_use", "To start an action on the page.", "usage_guideline", b, "when_to_use", "html", 0.6, "FOUND"),
+        (main, f"{b} > restriction[0]", "Never nest two buttons here", "restriction", b, "restrictions", "html", 0.6, "FOUND"),
+        (main, f"{b} > disambiguation[0]", rule, "restriction", b, "disambiguation_rules", "html", 0.5, "FOUND"),
+        (api, f"{b} > props > variant", '{"type":"\'ghost\' | \'solid\'","default":null}', "prop", b, "props", "html", 0.7, "FOUND"),
+        (api, f"{b} > props > size", '{"type":"string","default":null}', "prop", b, "props", "html", 0.7, "FOUND"),
+        (main, f"{b} > variants", "Primary, ghost, solid", "documentation", b, "variants", "html", 0.6, "FOUND"),
+        (main, f"{b} > states", "hover, focus", "documentation", b, "states", "html", 0.6, "FOUND"),
+        (main, f"{b} > example[0]", None, "code_example", b, "examples", "html", 0.8, "FOUND"),
+        (at + "/components/card", None, None, "documentation", "card", None, "html", 0.4, "NOT_EVALUABLE"),
+        (at + "/tokens.json", "color.bg", '{"value":"#fff","description":"page"}', "token", None, "color.bg", "json", 1.0, "FOUND"),
+        (at + "/tokens.json", "gap", '{"value":"4px","description":null}', "token", None, "gap", "json", 0.8, "FOUND"),
+        (at + "/foundations/color", "color.fg", '{"value":"var(--x)","description":"text"}', "token", None, "color.fg", "html", 0.6, "FOUND"),
+        (at + "/patterns/gallery", "Gallery", "button", "pattern", None, "pattern", "html", 0.6, "FOUND"),
+    ]
+    assert [(r.source, r.location, r.content, r.type, r.component, r.section, r.retrieval_method, r.confidence, r.status) for r in rows] == want
+    assert [r.id for r in rows] == [f"ev-{k:04d}" for k in range(1, len(want) + 1)]
+
+
+def test_limited_sites(spark):
+    pages = spark.createDataFrame([(s, f"https://{s}.com/", "text/html", page("<h1>Hi</h1>"), False) for s in "ab"], "site_id string, url string, content_type string, body string, rendered boolean")
+    records = pages.select("site_id", "url", F.lit("CRAWLED").alias("status"))
+    files = spark.createDataFrame([], "id long, site_id string, body string")
+    limits = spark.createDataFrame([("a", False), ("a", True), ("c", True)], "site_id string, crawl_limited boolean")
+    status = scoring.coverage_status(detectors.sites(pages, records, files, limits=limits))
+    assert {r.site_id: r.status for r in status.collect()} == {"a": "LIMITED", "b": "COMPLETE"}

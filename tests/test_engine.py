@@ -112,9 +112,24 @@ def test_sources(spark):
     assert html_scan.docc_to_html("{}") is None and "<h1>T</h1>" in html_scan.docc_to_html('{"metadata": {"title": "T"}}')
 
 
-def test_json_tokens():
-    tree = {"version": "1", "color": {"bg": {"$value": "#fff", "$description": "page"}, "raw": 3}, "on": True}
-    assert json_tokens.leaves(tree) == [("color.bg", "#fff", "page", 1.0), ("color.raw", "3", None, 0.8)]
+def test_json_tokens(spark):
+    def nested(levels: int) -> str:
+        return '{"k":' * levels + '{"z": 1}' + "}" * levels
+
+    bodies = [
+        '{"color": {"bg": {"$value": "#fff", "description": "page"}, "raw": 3}, "name": "x", "version": 2, "none": null, "on": true, "sub": {"name": "y"}}',
+        '{"a": {"value": null, "$value": {"x": 1}, "$description": "why"}, "l": [1, "z", {"value": false}, [2.5]], "é.b": "c"}',
+        nested(20), nested(21), "[1, {\"k\": 2}]", "not json", "", None, '"text"', "7", '{"a": 1, "a": 2}', "{}",
+    ]
+    rows = json_tokens.flatten(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"))
+    got = sorted(tuple(r) for r in rows.collect())
+    assert got == sorted([
+        (0, "color.bg", "#fff", "page", 1.0), (0, "color.raw", "3", None, 0.8), (0, "sub.name", "y", None, 0.8),
+        (1, "a", '{"x":1}', "why", 1.0), (1, "l.0", "1", None, 0.8), (1, "l.1", "z", None, 0.8), (1, "l.2", "false", None, 1.0), (1, "l.3.0", "2.5", None, 0.8), (1, "é.b", "c", None, 0.8),
+        (2, ".".join(["k"] * 20 + ["z"]), "1", None, 0.8), (4, "0", "1", None, 0.8), (4, "1.k", "2", None, 0.8),
+    ])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
 
 
 def test_addresses(spark):
