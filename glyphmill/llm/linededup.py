@@ -2,8 +2,8 @@
 
 A line's key is the line stripped of ASCII white space at both ends, with A-Z
 lower-cased; only keys of at least LEAST code points count. Every key is a
-128-bit hash. ``LineRuns`` keeps, in the shared folder, runs sorted by hash: one
-row a key with the number of documents it adds and the largest doc_id of those.
+128-bit hash. ``LineRuns`` keeps runs sorted by hash on the executors' disks, with the lineage
+that computes what a lost executor held: one row a key with the number of documents it adds and the largest doc_id of those.
 
 * ``add(batch)`` counts the batch's keys and merge-anti-joins them with the runs: a key that
   no run has is *new*, and the batch's largest doc_id with it is its first holder, for good.
@@ -18,7 +18,8 @@ table query adds the documents in BATCHES batches of descending doc_id, so that
 the first sighting is the largest doc_id, merges the runs, and drops lines whose key is in
 LEAST_DOCUMENTS documents from all but their holder.
 
-Scale: per line, 24 bytes are shuffled; counts are summed per task first; the
+Scale: per line, 24 bytes are shuffled; a task sums its keys before they are dealt by key, so a line
+that every document has is a row a task (and SUMMED rows) there; the
 join that a very frequent key skews is a plain sort-merge join, which adaptive
 execution splits; whole texts are shuffled once, to meet their own dropped keys.
 
@@ -43,6 +44,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 LEAST, LEAST_DOCUMENTS = 20, 3
 
 BATCHES, FANOUT = 4, 2
+#: Rows that a task sums at once.
+SUMMED = 200_000
 _NO_ID = -(1 << 63)
 
 
@@ -81,6 +84,29 @@ def line_keys(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(run, "doc_id long, key binary")
 
 
+def summed(keys: DataFrame) -> DataFrame:
+    """keys: (doc_id, key), distinct. (key, n, holder): what each task has of a key, not yet added up over tasks."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def total(held):
+            own = pa.Table.from_batches(held).group_by("key", use_threads=False).aggregate([("doc_id", "count"), ("doc_id", "max")])
+            yield from own.select(["key", "doc_id_count", "doc_id_max"]).rename_columns(["key", "n", "holder"]).to_batches()
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= SUMMED:
+                yield from total(held)
+                held, rows = [], 0
+        if held:
+            yield from total(held)
+
+    return keys.select("doc_id", "key").mapInArrow(run, "key binary, n long, holder long")
+
+
 class LineRuns:
     """Levelled sorted runs of (key, n, holder, new, first): documents, the largest of them, whether no older run has the key, and
     the largest document of the batch in which that was so (null: an older run has it)."""
@@ -94,7 +120,7 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> DataFrame:
         """keys: (doc_id, key), distinct. Returns the batch's own run; its new rows are keys not seen before."""
-        dealt = keys.repartition(self._parts, "key").groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
+        dealt = summed(keys).repartition(self._parts, "key").groupBy("key").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
         own = keep(dealt.sortWithinPartitions("key"))
         fresh = own
         for run in self.runs():

@@ -295,3 +295,13 @@ def test_quotes(spark):
     assert rows[2, 1].body == "" and rows[None, 5].parent_turn is None
     assert quotes.split_levels("> > a\n>> b\n> c\nd") == [(2, ["a", "b"]), (1, ["c"]), (0, ["d"])]
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_a_common_line_is_summed_before_it_is_dealt(spark):
+    rows = spark.range(40_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.lit("this line is in every document there is").alias("text"))
+    sums = linededup.summed(linededup.line_keys(rows))
+    got = sums.collect()
+    assert len(got) == 8 and sum(r.n for r in got) == 40_000 and max(r.holder for r in got) == 39_999
+    # A null doc_id counts as a document of its own.
+    some = linededup.line_report(frame(spark, ["that line is twice and without an id"] * 3, [None, 1, 2]).repartition(3)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_dropped) for r in some) == [(False, 1, 1), (False, 2, 0), (True, 0, 1)]
