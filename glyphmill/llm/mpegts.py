@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -144,18 +145,53 @@ class Stream:
         )
 
 
-def _section(packet: bytes, found: Stream) -> bytes | None:
-    """The body of the section that begins in a packet, or None and an error counted."""
-    at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
-    if at < PACKET:
-        at += 1 + packet[at]
-    if at + 3 <= PACKET:
-        size = (packet[at + 1] & 0x0F) << 8 | packet[at + 2]
-        section = packet[at : at + 3 + size]
-        if len(section) == size + 3 and size >= 9 and section_crc(section) == 0:
-            return section[8:-4]
-    found.crc_errors += 1
-    return None
+def _sections(packets: np.ndarray, found: Stream) -> Iterator[bytes]:
+    """The bodies of the sections that the packets of one PID carry, over any number of packets; sections that are damaged or cut off are errors."""
+    held, last = None, b""
+    for row in packets:
+        packet = row.tobytes()
+        start = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
+        if packet == last or not packet[3] & 0x10 or start >= PACKET:
+            continue  # a duplicate, or nothing carried
+        last, data = packet, packet[start:]
+        if packet[1] & 0x40:
+            pointer = 1 + data[0]
+            if held is not None:
+                yield from _taken(held + data[1:pointer], found, True)
+            held = data[pointer:]
+        elif held is None:
+            continue
+        else:
+            held += data
+        held = yield from _taken(held, found, False)
+    if held is not None:
+        yield from _taken(held, found, True)
+
+
+def _taken(held: bytes, found: Stream, last: bool) -> Iterator[bytes]:
+    """The bodies of whole sections; returns what is left, null once only stuffing follows. What is left at last is a section cut off."""
+    while held and held[0] != 0xFF:
+        size = 3 + ((held[1] & 0x0F) << 8 | held[2]) if len(held) >= 3 else len(held) + 1
+        if size > len(held):
+            found.crc_errors += last
+            return held
+        if size >= 12 and section_crc(held[:size]) == 0:
+            yield held[8 : size - 4]
+        else:
+            found.crc_errors += 1
+        held = held[size:]
+    return None if held else held
+
+
+def _duplicates(rows: np.ndarray) -> np.ndarray:
+    """Which packets of a PID, all of which carry something, repeat the one before; that is allowed once, and the clock may differ."""
+    out = np.zeros(len(rows), bool)
+    for k in np.flatnonzero((rows[1:, 3] & 15) == (rows[:-1, 3] & 15)) + 1:
+        same = rows[k] == rows[k - 1]
+        if rows[k, 3] & 0x20 and rows[k, 4] >= 7 and rows[k, 5] & 0x10:
+            same[6:12] = True
+        out[k] = same.all() and not out[k - 1]
+    return out
 
 
 def demux(media: bytes) -> Stream:
@@ -167,17 +203,18 @@ def demux(media: bytes) -> Stream:
     found.sync_errors = int((~good).sum()) + bool(len(media) % PACKET)
     pid = (m[:, 1] & 0x1F).astype(np.int32) << 8 | m[:, 2]
     starts = (m[:, 1] & 0x40).astype(bool)
-    for k in np.flatnonzero(good & starts & (pid == PAT_PID)):
-        body = _section(m[k].tobytes(), found)
-        for j in range(0, len(body or b"") - 3, 4):
+    for body in _sections(m[good & (pid == PAT_PID)], found):
+        for j in range(0, len(body) - 3, 4):
             number, where = struct.unpack_from(">HH", body, j)
             if number:
                 found.programs[number] = where & 0x1FFF
     for where in set(found.programs.values()):
-        for k in np.flatnonzero(good & starts & (pid == where)):
-            body = _section(m[k].tobytes(), found)
-            j = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF) if body else 0
-            while body and j + 5 <= len(body):
+        for body in _sections(m[good & (pid == where)], found):
+            if len(body) < 4:  # too short for what every program map has
+                found.crc_errors += 1
+                continue
+            j = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF)
+            while j + 5 <= len(body):
                 kind, own, info = struct.unpack_from(">BHH", body, j)
                 found.streams[own & 0x1FFF] = kind
                 j += 5 + (info & 0xFFF)
@@ -186,8 +223,16 @@ def demux(media: bytes) -> Stream:
         at = np.flatnonzero(good & (pid == own))
         control = m[at, 3]
         carries = (control & 0x10).astype(bool)
+        carrying = np.flatnonzero(carries)
+        again = carrying[_duplicates(m[at[carrying]])]
+        if len(again):
+            at = np.delete(at, again)
+            control = m[at, 3]
+            carries = (control & 0x10).astype(bool)
         counters = (control & 15).astype(np.int16)[carries]
-        found.continuity_errors += int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
+        # A packet may say that its counter goes on from elsewhere.
+        told = ((control & 0x20) != 0) & (m[at, 4] > 0) & ((m[at, 5] & 0x80) != 0)
+        found.continuity_errors += int(((counters[1:] - counters[:-1]) % 16 != 1)[~told[carries][1:]].sum())
         adapted = (control & 0x20).astype(bool)
         first, parts = np.flatnonzero(starts[at] & carries), []
         for a, b in zip(first, [*first[1:], len(at)], strict=False):  # none begins in a stream that lost all starts

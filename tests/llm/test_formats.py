@@ -81,3 +81,39 @@ def test_damage_is_counted():
         for _ in range(rng.randint(1, 30)):
             noise[rng.randrange(len(noise))] = rng.randrange(256)
         mpegts.demux(bytes(noise))
+
+
+def cut_in_packets(pid, data, size, counter=0):
+    """A section, behind its pointer, in packets of size bytes of it each."""
+    out = []
+    for k, at in enumerate(range(0, len(data), size)):
+        part = data[at : at + size]
+        out.append(packet(pid, at == 0, counter + k, part, b"\0" + b"\xff" * (182 - len(part)) if len(part) < 184 else None))
+    return out
+
+
+def test_sections_of_many_packets_and_short_ones():
+    whole = by_hand()
+    streams = b"".join(struct.pack(">BHH", 6, 0xE000 | k, 0xF000) for k in range(0x200, 0x2B0)) + struct.pack(">BHH", 0x1B, 0xE000 | 0x77, 0xF000)
+    table = section(2, 5, struct.pack(">HH", 0xE000 | 0x77, 0xF000) + streams).rstrip(b"\xff")
+    got = mpegts.demux(b"".join([whole[0], *cut_in_packets(0x55, table, 100), *whole[2:]]))
+    assert len(got.streams) == 177 and got.crc_errors == 0 and got.payload == b"A" * 300 + b"B" * 20
+    lost = mpegts.demux(b"".join([whole[0], *cut_in_packets(0x55, table, 100)[:-1], *whole[2:]]))
+    assert lost.streams == {} and lost.crc_errors == 1
+    for n in range(4):
+        short = mpegts.demux(b"".join([whole[0], packet(0x55, 1, 0, section(2, 5, b"\xe1\0\xf0"[:n])), *whole[2:]]))
+        assert short.streams == {} and short.crc_errors == 1
+
+
+def test_duplicates_and_announced_jumps():
+    whole = by_hand()
+    for k in range(6):
+        got = mpegts.demux(b"".join([*whole[: k + 1], whole[k], *whole[k + 1 :]]))
+        assert got.payload == b"A" * 300 + b"B" * 20 and got.continuity_errors == got.crc_errors == 0, k
+    thrice = mpegts.demux(b"".join([*whole[:5], whole[4], whole[4], *whole[5:]]))
+    assert thrice.continuity_errors == 1
+    jump = bytearray(whole[5])
+    jump[3] = jump[3] & 0xF0 | 9
+    assert mpegts.demux(b"".join([*whole[:5], bytes(jump)])).continuity_errors == 1
+    jump[5] |= 0x80
+    assert mpegts.demux(b"".join([*whole[:5], bytes(jump)])).continuity_errors == 0
