@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.functions import numbers, text, urls
-from glyphmill.operators import relational
+from glyphmill.operators import page_blocks, relational
 from glyphmill.plans.registry import query
 
 _WS = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -329,3 +329,33 @@ def ordered_union(spark, sf):
 def group_tabs(spark, sf):
     p = _pages(spark, sf)
     return p.groupBy(F.try_element_at(urls.segments(p.url), F.lit(1)).alias("grp")).agg(F.count("*").alias("tabs"), F.min("page_id").alias("first_page"))
+
+
+_HEAD = r"(?is)<h[1-4]([\s/][^>]*)?>.*?</h[1-4]\s*>"
+
+
+@query("E07_H18_sections", f"""
+  WITH x AS (SELECT page_id, regexp_extract_all(html, '{_HEAD}') AS heads, string_split_regex(html, '{_HEAD}') AS gaps FROM pages WHERE html IS NOT NULL),
+  r AS (SELECT page_id, unnest(range(len(heads))) AS n, unnest(heads) AS head, unnest(gaps[2:]) AS after FROM x),
+  l AS (SELECT *, CAST(substr(head, 3, 1) AS INTEGER) AS level FROM r),
+  u AS (SELECT *, (SELECT min(b.n) FROM l b WHERE b.page_id = a.page_id AND b.n > a.n AND b.level <= a.level) AS upto FROM l a)
+  SELECT u.page_id, u.n, u.level, any_value({_d_strip("regexp_replace(" + _d_strip("u.head") + ", '[#¶§]+', '', 'g')")}) AS title, CAST(sum(length(k.after) + CASE WHEN k.n > u.n THEN length(k.head) ELSE 0 END) AS BIGINT) AS chars
+  FROM u JOIN l k ON k.page_id = u.page_id AND k.n >= u.n AND (u.upto IS NULL OR k.n < u.upto) GROUP BY 1, 2, 3""")
+def page_sections(spark, sf):
+    found = page_blocks.section_texts(_pages(spark, sf).select(F.col("page_id").alias("id"), "html"))
+    return found.select(F.col("id").alias("page_id"), "n", "level", "title", F.length("html").cast("long").alias("chars"))
+
+
+_LABELLED = r"(?is)<h1([\s/][^>]*)?>.*?</h1\s*>|<div([\s/][^>]*)?>.*?</div\s*>|<b([\s/][^>]*)?>.*?</b\s*>"
+
+
+@query("E09_H17_labelled_paragraph", f"""
+  WITH x AS (SELECT page_id, regexp_extract_all(html, '{_LABELLED}') AS own, string_split_regex(html, '{_LABELLED}') AS gaps FROM pages WHERE html IS NOT NULL),
+  t AS (SELECT page_id, own, gaps, list_transform(own, lambda o: {_d_strip("o")}) AS texts FROM x),
+  f AS (SELECT *, list_filter(range(1, len(own) + 1), lambda i: length(texts[i]) BETWEEN 1 AND 80)[1] AS i FROM t),
+  r AS (SELECT page_id, texts[i] AS label, array_to_string(list_transform(range(i, len(own) + 1), lambda k: CASE WHEN k > i THEN own[k] ELSE '' END || gaps[k + 1]), '') AS rest FROM f WHERE i IS NOT NULL)
+  SELECT page_id, label, nullif({_d_strip(r"regexp_extract(rest, '(?is)<p([\s/][^>]*)?>(.*?)</p\s*>', 2)")}, '') AS paragraph FROM r""")
+def labelled_paragraph(spark, sf):
+    """The paragraph after a page's first heading, box or bold text of at most 80 characters."""
+    found = page_blocks.labelled(_pages(spark, sf).select(F.col("page_id").alias("id"), "html"), "(?s).+", ("h1", "div", "b"))
+    return found.withColumnRenamed("id", "page_id")
