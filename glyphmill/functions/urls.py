@@ -203,7 +203,7 @@ def official_key(url: Column, kind: Column) -> Column:
 
 
 def storybook_candidates(url: Column) -> Column:
-    base = F.concat(origin(url), F.regexp_replace(F.regexp_replace(path(url), r"/[^/]*\.html$", "/"), "/*$", "/"))
+    base = F.concat(origin(url), F.regexp_replace(path(url), "/+$", ""), F.lit("/"))
     top = F.concat(origin(url), F.lit("/"))
     return F.array_distinct(F.array(*[F.concat(b, F.lit(f)) for b in (base, top) for f in ("index.json", "stories.json")]))
 
