@@ -77,6 +77,12 @@ def repetition(names: Column) -> Column:
     return numbers.ratio(F.size(names) - once, F.size(names))
 
 
+def repetition_of(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, consistency): ``repetition`` of names that are rows, by the counts of each name, so that a group of any size isn't one row."""
+    each = rows.groupBy(*keys, name).agg(F.count("*").alias("_n"))
+    return each.groupBy(*keys).agg(numbers.ratio(F.sum(F.when((F.col("_n") > 1) | F.col(name).isNull(), F.col("_n")).otherwise(0)), F.sum("_n")).alias("consistency"))
+
+
 def criteria_of(dimension: str) -> list[tuple[str, Column, float, Column]]:
     """(criterion, points, max, applicable) of a dimension, over columns c (evaluable components), p (their props) and the site's own."""
     yes, c, p, t, pat = F.lit(True), F.col("c"), F.col("p"), F.col("t"), F.col("pat")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import scoring
+from glyphmill.operators import detectors, scoring
 from glyphmill.plans.registry import query
 
 #: Sub-criteria in SQL: points (a quarter of the maximum at a time, or null), whether they apply, and what overrides them.
@@ -78,3 +78,31 @@ def certainty(spark, sf):
     coalesce(string_agg(criterion, ',' ORDER BY ord) FILTER (WHERE status IN ('NOT_EVALUABLE', 'NOT_APPLICABLE', 'OUT_OF_SCOPE')), '') AS excluded FROM ({_STATUS}) GROUP BY 1, 2""")
 def diagnosis(spark, sf):
     return scoring.diagnosis(_subs(spark, sf)).select("site_id", "dimension", *[F.array_join(c, ",").alias(c) for c in ("works", "gaps", "excluded")])
+
+
+@query("K21_D19_coverage_status", """
+  WITH c AS (SELECT c_custkey AS site_id, c_custkey % 5 AS found, least(c_custkey % 5, c_custkey % 4) AS seen, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 3 = 0 END AS cut FROM customer)
+  SELECT site_id, CASE WHEN found > 0 THEN seen / found END::DOUBLE AS ratio, CASE WHEN found > 0 AND seen < found THEN 'PARTIAL' WHEN cut THEN 'LIMITED' ELSE 'COMPLETE' END AS status FROM c""")
+def coverage_status(spark, sf):
+    k = F.col("c_custkey")
+    cells = F.struct((k % 5).alias("components_detected"), F.least(k % 5, k % 4).alias("components_evaluated"), F.when(k % 7 > 0, k % 3 == 0).alias("crawl_limited"))
+    return scoring.coverage_status(spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("site_id"), cells.alias("coverage")))
+
+
+_TOKEN = "'n' || (p_partkey % 60) || '.' || p_size % 3"
+
+
+@query("K02_G01_G02_tokens", f"""
+  WITH p AS (SELECT p_brand AS site_id, p_partkey AS k, {_TOKEN} AS name, 'u' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS url, p_type AS value, CASE WHEN p_size % 4 = 0 THEN p_name END AS intent FROM part),
+  told AS (SELECT site_id, name, arg_min(intent, url) AS intent FROM p WHERE intent IS NOT NULL GROUP BY 1, 2),
+  j AS (SELECT site_id, name, 'v' || k AS value, told.intent, 'json' AS origin, 'https://ds.com/' || k || '.json' AS source, 0.8::DOUBLE AS confidence FROM p LEFT JOIN told USING (site_id, name) WHERE k % 3 = 0),
+  h AS (SELECT *, row_number() OVER (PARTITION BY site_id, name ORDER BY url) AS n FROM p WHERE (site_id, name) NOT IN (SELECT (site_id, name) FROM j))
+  SELECT * FROM j UNION ALL SELECT site_id, name, value, intent, 'html_table', url, 0.6::DOUBLE FROM h WHERE n = 1""")
+def tokens(spark, sf):
+    """Every part as a row of a token table of its brand, and every third as a file of one token besides."""
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("site_id"), F.col("p_partkey").alias("id"), F.expr(_TOKEN).alias("name"), F.col("p_type").alias("value"), F.expr("CASE WHEN p_size % 4 = 0 THEN p_name END").alias("intent"))
+    row = F.struct("name", "value", "intent")
+    seen = p.select("site_id", F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("url"), F.struct(F.array(row).alias("tokens")).alias("f"))
+    body = F.expr("""'{"' || replace(name, '.', '":{"') || '":"v' || id || '"}}'""")
+    files = p.filter("id % 3 = 0").select("id", "site_id", F.concat(F.lit("https://ds.com/"), "id", F.lit(".json")).alias("url"), body.alias("body"))
+    return detectors.tokens(seen, files).select("site_id", "name", "value", "intent", "origin", "source", "confidence")

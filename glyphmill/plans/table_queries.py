@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import numbers, text
-from glyphmill.operators import json_tokens, relational
+from glyphmill.operators import json_tokens, relational, scoring
 from glyphmill.plans.registry import query
 from glyphmill.streaming import limits
 
@@ -32,10 +32,8 @@ def feedback_limit(spark, sf):
 @query("I03_state_eviction", "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) >= 86400000000")
 def eviction(spark, sf):
     e = _t(spark, sf, "events")
-    last = e.agg(F.max("ts").alias("now"))
-    per = e.groupBy("user_id").agg(F.max("ts").alias("last_seen")).join(F.broadcast(last))
-    gone = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) >= 86400 * 1_000_000
-    return per.filter(gone).select("user_id", "last_seen")
+    now = e.agg(F.max("ts").cast("timestamp").alias("now"))
+    return limits.evicted(e.join(F.broadcast(now)), "user_id", "ts", "now", 86_400)
 
 
 @query("I04_concurrency", "SELECT event_id, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS active FROM events")
@@ -116,8 +114,7 @@ def status_counts(spark, sf):
   WITH c AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)
   SELECT l_suppkey, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::DOUBLE / sum(n) AS consistency FROM c GROUP BY 1""")
 def repetition(spark, sf):
-    c = _t(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-    return c.groupBy("l_suppkey").agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"))
+    return scoring.repetition_of(_t(spark, sf, "lineitem").select("l_suppkey", F.col("l_partkey").cast("string").alias("name")), ["l_suppkey"], "name")
 
 
 @query("D12_naming_consistency", """

@@ -28,9 +28,11 @@ def rate_limited(events: DataFrame, key: str, ts: str, tie: str, limit: int = 5,
     return out.withColumn("rejected", F.col("n_recent") > limit).drop("_at", "_slice", "_in")
 
 
-def evicted(events: DataFrame, key: str, ts: str, now: Column, seconds: int) -> DataFrame:
-    """Keys whose last event is at least seconds before now."""
-    return events.groupBy(key).agg(F.max(ts).alias("last_seen")).filter(F.unix_micros(now) - F.unix_micros(F.col("last_seen").cast("timestamp")) >= seconds * 1_000_000)
+def evicted(events: DataFrame, key: str, ts: str, now: str, seconds: int) -> DataFrame:
+    """(key, last_seen) of the keys whose last event is at least seconds before now, a column of the events."""
+    last = events.groupBy(key).agg(F.max(ts).alias("last_seen"), F.max(now).alias("_now"))
+    gone = F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) >= seconds * 1_000_000
+    return last.filter(gone).drop("_now")
 
 
 def running(starts: DataFrame, day: str, ts: str, delta: str, tie: str) -> DataFrame:

@@ -89,3 +89,9 @@ def test_job_table(spark, tmp_path, events):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert jobs.job_events(none, "key", "ts", "id").collect() == [] and jobs.job_table(none, "key", "ts", "id", "job", "kind").collect() == []
+
+
+def test_evicted_keys(spark):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:09:00"), ("b", "2024-01-01 00:10:00"), (None, "2024-01-01 00:00:00")]
+    frame = spark.createDataFrame(rows, "key string, ts string").withColumn("now", F.lit("2024-01-01 00:19:00"))
+    assert {r.key for r in limits.evicted(frame, "key", "ts", "now", 600).collect()} == {"a", None}
