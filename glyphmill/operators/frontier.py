@@ -137,3 +137,50 @@ def official_sources(links: DataFrame) -> DataFrame:
 def source_rows(parts: list[DataFrame]) -> DataFrame:
     """The source log of several stages of (site_id, url, role, status, reason), earlier stages first."""
     return reduce(DataFrame.unionByName, [p.withColumn("stage", F.lit(k)) for k, p in enumerate(parts)])
+
+
+def sitemap_walk(candidates: DataFrame, bodies: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the sitemaps of stored bodies list, indexes followed to their children.
+
+    candidates (site_id, url, ord), bodies (site_id, url, body) and roots (site_id, root): (site_id, url), the pages listed, distinct and normalised, and
+    (site_id, url, ord, status), the files in the order in which they are read: READ, NOT_A_SITEMAP or MISSING.
+
+    Files are read first in, first out. A site follows CHILD_SITEMAPS children in all, those of its own host, and of one index those that look like documentation
+    first; one that was read before still counts, but isn't read again, so cycles end. With so few children a walk has at most as many rounds, and only a site's few
+    pending files go from round to round."""
+    from glyphmill.session import cut
+    from glyphmill.sources import listings
+
+    texts = bodies.select("site_id", "url", F.coalesce("body", F.lit("")).alias("body"), F.xxhash64("site_id", "url").alias("id"))
+    texts = relational.first_per(texts, ["site_id", "url"], ["body"])
+    known = texts.select("site_id", "url", F.struct(F.col("body").rlike(r"(?i)<(urlset|sitemapindex)[\s>]").alias("sitemap"), F.col("body").rlike(r"(?i)<sitemapindex[\s>]").alias("index")).alias("is"), listings.locations(F.col("body")).alias("locs"))
+    known = cut(known)
+    status = F.when(F.col("is").isNull(), "MISSING").when(F.col("is.sitemap"), "READ").otherwise("NOT_A_SITEMAP")
+    site = Window.partitionBy("site_id")
+    pending = relational.first_per(candidates.select("site_id", "url", "ord"), ["site_id", "url"], ["ord"])
+    pending = pending.select("site_id", "url", F.row_number().over(site.orderBy("ord")).cast("long").alias("ord"), F.lit(0).cast("long").alias("used"))
+    read = None
+    for _ in range(CHILD_SITEMAPS + 1):
+        if read is not None:
+            pending = pending.join(read.select("site_id", "url"), ["site_id", "url"], "left_anti")
+        now = cut(pending.join(known.select("site_id", "url", "is"), ["site_id", "url"], "left").select("site_id", "url", "ord", "used", status.alias("status")))
+        if now.isEmpty():
+            break
+        step = now.select("site_id", "url", "ord", "status")
+        read = step if read is None else read.unionByName(step)
+        kids = now.filter("status = 'READ'").join(known.filter("is.index").select("site_id", "url", "locs"), ["site_id", "url"]).join(roots, "site_id")
+        kids = kids.select("site_id", "root", "url", "ord", "used", F.posexplode("locs").alias("n", "loc"))
+        kids = kids.withColumn("kid", urls.normalize(urls.resolve(F.col("loc"), F.col("url")))).filter(urls.same_host(F.col("kid"), F.col("root")))
+        rank = F.when(F.col("kid").rlike("(?i)doc|design|component|page"), 0).otherwise(1)
+        # Of a site, no more children than are left are taken, so no more are sorted.
+        taken = relational.top_per(kids.withColumn("rank", rank), ["site_id"], ["ord", "rank", "n"], CHILD_SITEMAPS)
+        place = F.row_number().over(site.orderBy("ord", "rank", "n"))
+        taken = taken.withColumn("place", place).filter(F.col("place") + F.col("used") <= CHILD_SITEMAPS)
+        # All of a site's pending files carry how many children it has followed.
+        taken = taken.select("site_id", F.col("kid").alias("url"), (1_000_000 + F.col("used") + F.col("place")).cast("long").alias("ord"), (F.col("used") + F.count("*").over(site)).alias("used"))
+        pending = relational.first_per(taken, ["site_id", "url"], ["ord"])
+    if read is None:
+        read = now.select("site_id", "url", "ord", "status")
+    listed = read.filter("status = 'READ'").join(known.filter("NOT is.index"), ["site_id", "url"]).select("site_id", "url", F.explode("locs").alias("loc"))
+    pages = listed.select("site_id", urls.normalize(urls.resolve(F.col("loc"), F.col("url"))).alias("url")).filter("url IS NOT NULL").distinct()
+    return pages, read

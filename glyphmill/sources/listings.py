@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions import urls
+from glyphmill.functions import text, urls
 from glyphmill.operators import relational
 
 MAX_LISTED = 20_000
 
 
+def locations(body: Column) -> Column:
+    """The addresses of a sitemap or sitemap index, at most MAX_LISTED. Blocks are found in linear time."""
+    clean = lambda x: F.trim(F.replace(F.regexp_replace(x, r"<!\[CDATA\[|\]\]>", ""), F.lit("&amp;"), F.lit("&")))
+    return F.transform(F.slice(text.blocks(body, "loc"), 1, MAX_LISTED), clean)
+
+
 def sitemap(docs: DataFrame) -> DataFrame:
     """(id, loc, is_index): at most MAX_LISTED addresses of each sitemap or sitemap index."""
-    raw = F.regexp_extract_all("body", F.lit(r"(?is)<loc(?=[\s/>])[^>]*>(.*?)</loc\s*>"), F.lit(1))
-    clean = F.transform(F.slice(raw, 1, MAX_LISTED), lambda x: F.trim(F.replace(F.regexp_replace(x, r"<!\[CDATA\[|\]\]>", ""), F.lit("&amp;"), F.lit("&"))))
-    return docs.select("id", F.col("body").rlike(r"(?i)<sitemapindex[\s>]").alias("is_index"), F.explode(clean).alias("loc"))
+    return docs.select("id", F.col("body").rlike(r"(?i)<sitemapindex[\s>]").alias("is_index"), F.explode(locations(F.col("body"))).alias("loc"))
 
 
 def robots(docs: DataFrame) -> DataFrame:
