@@ -183,12 +183,12 @@ def with_status(rows: DataFrame) -> DataFrame:
 
 
 def dimension_scores(subs: DataFrame) -> DataFrame:
-    """(site_id, dimension, score, share, status, missing): points over the maxima of what has points, times 100."""
+    """(site_id, dimension, score, share, status, missing): points over the maxima of what has points, times 100; missing in the criteria's order."""
     inside = F.col("status") != "OUT_OF_SCOPE"
     seen = F.col("points").isNotNull()
     g = subs.groupBy("site_id", "dimension").agg(
         F.sum("points").alias("got"), F.sum(F.when(seen, F.col("max"))).alias("base"), F.sum(F.when(inside, F.col("max"))).alias("all"),
-        F.sort_array(F.collect_list(F.when(F.col("status") == "NOT_EVALUABLE", F.col("criterion")))).alias("missing"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == "NOT_EVALUABLE", F.struct("ord", "criterion")))), lambda x: x["criterion"]).alias("missing"),
     )
     return g.select(
         "site_id", "dimension", (numbers.ratio(F.col("got"), F.col("base")) * 100).alias("score"), F.coalesce(F.col("base") / F.col("all"), F.lit(0.0)).alias("share"),
