@@ -3,6 +3,7 @@
 Rows of a key wait in its state until the watermark has passed them, and are then taken in order of (ts, id), so what comes out
 doesn't depend on the order in which they came in, nor on restarts. Timers wake a key when its
 next row is settled, and when its state has become old, which is then dropped. Rows behind the watermark are late and dropped.
+Waiting rows are sorted outside of memory, as runs in the state, so a key may have as many as it will.
 
 The session's state store is to be RocksDB (``stateful_session`` makes one); state, and the progress of a query, lie in its checkpoint folder.
 
@@ -12,10 +13,13 @@ are rows of their own.
 
 from __future__ import annotations
 
+import heapq
+import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from itertools import chain, islice
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -23,27 +27,36 @@ from glyphmill.session import shared_folder
 from glyphmill.streaming.jobs import MAX_EVENTS, MAX_JOBS, TTL_SECONDS, JobTable
 
 _MICROS = 1_000_000
+#: Times of the column that the watermark follows are kept in this range, as they pass through pandas; rows have their own in microseconds.
+_FIRST, _LAST = 0, 9_214_646_400 * _MICROS
 
 
-def _time(us: int) -> datetime:
-    return datetime.fromtimestamp(us // _MICROS, UTC).replace(microsecond=us % _MICROS)
+def _place(row: tuple):
+    """Where a row (us, id, job, kind) comes in its key's order; a null id comes first of its time."""
+    return row[0], row[1] is not None, row[1] or 0
 
 
 class InOrder(StatefulProcessor):
-    """Holds a key's rows until they are settled. Subclasses say what to do with settled ones, and when the state is old."""
+    """Holds a key's rows until they are settled. Subclasses say what to do with settled ones, and when the state is old.
 
-    WAITING = "us long, id long, job string, kind string"
+    What waits lies in the state as runs of RUN rows in order, in blocks of BLOCK rows, and is merged from the runs when it is settled. So a task
+    holds a run, or a block of each run, however many rows a key has; what comes out goes on in frames of BLOCK rows."""
+
+    RUN, BLOCK = 100_000, 2_000
+    OUTPUT = ""
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self.WAITING)
+        # The first block that is left of a run lies with it, so a key of few rows has one entry.
+        self._runs = handle.getMapState("runs", "run long", "next long, blocks long, rows binary")
+        self._blocks = handle.getMapState("blocks", "run long, block long", "rows binary")
         self.open(handle)
 
     def open(self, handle) -> None:
         raise NotImplementedError
 
-    def settle(self, key, rows: list[tuple]) -> list[Row]:
-        """The output of rows (us, id, job, kind) in ascending order, none of them late."""
+    def settle(self, key, rows: Iterator[tuple]) -> Iterator[tuple]:
+        """The output of rows (us, id, job, kind) in ascending order, none of them late; times in microseconds."""
         raise NotImplementedError
 
     def stale(self, now: int) -> int | None:
@@ -53,27 +66,78 @@ class InOrder(StatefulProcessor):
     def _wake(self, us: int) -> None:
         self._handle.registerTimer(-(-us // 1000))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r.us, r.id, r.job, r.kind) for r in rows if r.us is not None and r.us > 1000 * timerValues.getCurrentWatermarkInMs()]
+    def _hold(self, run: int, rows: list[tuple]) -> int:
+        """Puts rows into the state as a run; the first one's time."""
+        rows.sort(key=_place)
+        blocks = [pickle.dumps(rows[k : k + self.BLOCK]) for k in range(0, len(rows), self.BLOCK)]
+        for k, block in enumerate(blocks[1:], 1):
+            self._blocks.updateValue((run, k), (block,))
+        self._runs.updateValue((run,), (1, len(blocks), blocks[0]))
+        return rows[0][0]
+
+    def _taken(self, run: int, at: int, blocks: int, packed: bytes, now: int, left: list[int]) -> Iterator[tuple]:
+        """The rows of a run up to now, which leave the state as they are read; the time of its next row goes to left."""
+        began = at
+        while True:
+            rows = pickle.loads(packed)
+            ready = bisect_right(rows, now, key=lambda r: r[0])
+            yield from rows[:ready]
+            if ready < len(rows):
+                if ready or at > began:
+                    self._runs.updateValue((run,), (at, blocks, pickle.dumps(rows[ready:])))
+                left.append(rows[ready][0])
+                return
+            if at == blocks:
+                self._runs.removeKey((run,))
+                return
+            packed = self._blocks.getValue((run, at))[0]
+            self._blocks.removeKey((run, at))
+            at += 1
+
+    def _frame(self, rows: list[tuple]):
+        import pandas as pd
+
+        names = [c.split() for c in self.OUTPUT.split(", ")]
+        return pd.DataFrame({
+            name: pd.to_datetime(pd.Series(values, dtype="int64"), unit="us", utc=True) if kind == "timestamp" else pd.Series(values, dtype=object)
+            for (name, kind), values in zip(names, zip(*rows, strict=True), strict=True)
+        })
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        late, run, first, new = 1000 * timerValues.getCurrentWatermarkInMs(), None, [], []
+
+        def hold() -> None:
+            nonlocal run, new
+            run = max((k[0] for k in self._runs.keys()), default=-1) + 1 if run is None else run + 1
+            first.append(self._hold(run, new))
+            new = []
+
+        for frame in rows:
+            for us, number, job, kind in zip(frame["us"].tolist(), *(frame[c] for c in ("id", "job", "kind")), strict=True):
+                if us > late:
+                    new.append((us, None if number is None else int(number), job, kind))
+                    if len(new) == self.RUN:
+                        hold()
         if new:
-            self._waiting.appendList(new)
-            self._wake(min(r[0] for r in new))
+            hold()
+        if first:
+            self._wake(min(first))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = 1000 * timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self._waiting.get()), key=lambda r: r[:2])
-        ready = [r for r in rows if r[0] <= now]
-        if len(ready) < len(rows):
-            self._waiting.put(rows[len(ready) :])
-            self._wake(rows[len(ready)][0])
-        elif rows:
-            self._waiting.clear()
-        out = self.settle(key, ready) if ready else []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        now, left = 1000 * timerValues.getCurrentWatermarkInMs(), []
+        runs = [self._taken(k[0], *v, now, left) for k, v in list(self._runs.iterator())]
+        rows = heapq.merge(*runs, key=_place)
+        one = next(rows, None)
+        if one is not None:
+            out = iter(self.settle(key, chain([one], rows)))
+            while part := list(islice(out, self.BLOCK)):
+                yield self._frame(part)
+        if left:
+            self._wake(min(left))
         later = self.stale(now)
         if later is not None:
             self._wake(max(later, now + 1000))
-        return iter(out)
 
     def close(self) -> None:
         pass
@@ -91,12 +155,11 @@ class RateLimited(InOrder):
         self._recent = handle.getListState("recent", "us long")
 
     def settle(self, key, rows):
-        recent, out = [r[0] for r in self._recent.get()], []
+        recent = [r[0] for r in self._recent.get()]
         for us, number, *_ in rows:
             recent = [t for t in recent if us - t < self._span] + [us]
-            out.append(Row(key=key[0], ts=_time(us), id=number, n_recent=len(recent), rejected=len(recent) > self._limit))
+            yield key[0], us, number, len(recent), len(recent) > self._limit
         self._recent.put([(t,) for t in recent])
-        return out
 
     def stale(self, now):
         last = max((r[0] for r in self._recent.get()), default=None)
@@ -122,15 +185,13 @@ class JobLog(InOrder):
 
     def settle(self, key, rows):
         started, last, n = self._job.get() if self._job.exists() else (None, None, 0)
-        out = []
         for us, number, *_ in rows:
             if last is None or us - last >= self._ttl:
                 started, n = us, 0
             if n < self._most:
-                out.append(Row(key=key[0], ts=_time(us), id=number, started=_time(started), seq=n))
+                yield key[0], us, number, started, n
             last, n = us, n + 1
         self._job.update((started, last, n))
-        return out
 
     def stale(self, now):
         if not self._job.exists():
@@ -164,12 +225,11 @@ class Capacity(InOrder):
 
     def settle(self, key, rows):
         table = self._table()
-        before, out = set(table.jobs), []
+        before = set(table.jobs)
         for us, number, job, kind in rows:
             outcome, evicted = table.take(us, job, kind)
-            out.append(Row(key=key[0], ts=_time(us), id=number, job=job, outcome=outcome, evicted=evicted, live=len(table.jobs)))
+            yield key[0], us, number, job, outcome, evicted, len(table.jobs)
         self._keep(table, before)
-        return out
 
     def stale(self, now):
         table = self._table()
@@ -181,8 +241,10 @@ class Capacity(InOrder):
 
 def _run(stream: DataFrame, processor: InOrder, watermark: str) -> DataFrame:
     """stream: (key string, ts timestamp, id long, job string, kind string)"""
-    rows = stream.withWatermark("ts", watermark).select("key", "ts", F.unix_micros("ts").alias("us"), "id", "job", "kind")
-    return rows.groupBy("key").transformWithState(processor, processor.OUTPUT, "Append", "EventTime")
+    within = [F.timestamp_micros(F.lit(t)) for t in (_FIRST, _LAST)]
+    rows = stream.filter("ts IS NOT NULL").select("key", F.least(F.greatest("ts", within[0]), within[1]).alias("ts"), F.unix_micros("ts").alias("us"), F.col("id").cast("string").alias("id"), "job", "kind")
+    # By frames, as rows that come out would be held until a task is through.
+    return rows.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(processor, processor.OUTPUT, "Append", "EventTime")
 
 
 def _plain(stream: DataFrame) -> DataFrame:

@@ -86,6 +86,62 @@ def test_job_table(spark, tmp_path, events):
     assert sorted(((r[0], *r[2:]) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_long_keys_wait_as_runs(spark, tmp_path, events):
+    def make(stream):
+        processor = stateful.Capacity(4, 1, 900)
+        processor.RUN, processor.BLOCK = 50, 7
+        return stateful._run(stream, processor, "10 minutes")
+
+    got = streamed(spark, tmp_path, events, make, 2)
+    assert sorted(((r[0], *r[2:]) for r in got), key=str) == sorted(plain_table(events[0], 4, 1, 900), key=str)
+
+
+class Held(dict):
+    """A map state, or the handle of some."""
+
+    def getMapState(self, name, *_):
+        return self.setdefault(name, Held())
+
+    def getValue(self, key):
+        return self[key]
+
+    updateValue, removeKey, iterator = dict.__setitem__, dict.__delitem__, dict.items
+
+    def registerTimer(self, ms):
+        self["timer"] = ms
+
+
+def test_settled_rows_come_by_blocks():
+    import pandas as pd
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, processor, n = Held(), stateful.Capacity(4, 1, 900), 1000
+    processor.RUN, processor.BLOCK = 100, 10
+    processor.init(handle)
+    rows = [(1000 * (k * 7919 % n + 1), str(k), "j", "start") for k in range(n)]
+    frames = [pd.DataFrame(rows[k : k + 130], columns=["us", "id", "job", "kind"]) for k in range(0, n, 130)]
+    list(processor.handleInputRows(("a",), iter(frames), At(0)))
+    assert len(handle["runs"]) == 10 and len(handle["blocks"]) == 90 and handle["timer"] == 1
+    out = processor.handleExpiredTimer(("a",), At(600), None)
+    first = next(out)
+    # One frame is out, and all but the first blocks of each run are still in the state.
+    assert len(first) == 10 and len(handle["blocks"]) >= 80
+    ids = [*first["id"], *(i for frame in out for i in frame["id"])]
+    assert ids == [int(r[1]) for r in sorted(rows)[:600]] and handle["timer"] > 600
+    ids = [i for frame in processor.handleExpiredTimer(("a",), At(2000), None) for i in frame["id"]]
+    assert ids == [int(r[1]) for r in sorted(rows)[600:]] and not handle["runs"] and not handle["blocks"]
+
+
+def test_rows_without_time_or_id(spark, tmp_path, events):
+    late = BEGIN + timedelta(seconds=5)
+    rows = [("a", late, None, "j", "event"), ("a", late, 2**62 + 1, "j", "start"), ("a", datetime(1960, 1, 1, tzinfo=UTC), 4, "j", "start")]
+    got = streamed(spark, tmp_path, (rows, events[1]), lambda s: stateful.job_table_stream(s.unionByName(s.filter("id IS NULL").withColumn("ts", F.lit(None).cast("timestamp"))), 4, 1, 900), 1)
+    assert sorted(((r[0], *r[2:]) for r in got), key=str) == sorted([("a", None, "j", "unknown", None, 0), ("a", 2**62 + 1, "j", "started", None, 1)], key=str)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert jobs.job_events(none, "key", "ts", "id").collect() == [] and jobs.job_table(none, "key", "ts", "id", "job", "kind").collect() == []
