@@ -11,15 +11,16 @@ The log probability of a text is a sum over its n-grams of all orders,
 
 where G is the log of a context's weight for the lower order, F what an n-gram's own
 probability adds to its suffix's, and either is 0 if not seen: back-off without branches.
-One table (hash, value) thus has the whole model. It is made of counts in shards of the
-middle word of three, where contexts and the next lower order lie together; a shard is held at once, so
-what trains has a bound (``kneser_ney.FIT_DOCUMENTS``), while what is scored has none. Texts send the n-grams that slices of
+One table (hash, value) thus has the whole model, of all text that trains. Counts lie in shards of the last two words of three, which say how many
+words are before a pair; sums of pairs by their first and second words are joined to them, and what they give goes on to shards of the first two words, where
+a context's followers lie together. So no shard has all of a frequent word. Texts send the n-grams that slices of
 them hold to shards of that table, by hash, and get their sums back by text key.
 
-Scale: what training holds at once has a bound, and so have the table and its shards. All that texts send grows in
-proportion to them: a slice sends a row to each shard, a fixed number of them, with its sums coming back by the slice's number, and its texts' keys once.
-A shard is met by a task for every GROUP_BYTES of text, so tasks grow in number and not in size. N-grams that a filter of the table's hashes, of FILTER_BITS
-bits whatever the table's size, shows not to be there stay where they are. The texts go in BATCHES passes, each stored, which bounds the shuffle that is on disk at a time.
+Scale: shards grow in number with what trains, and not in size, but for a pair of words itself, whose neighbours one task holds. The second half of training goes in
+TRAIN_PASSES passes by hash, and texts in BATCHES passes (MANY if the filter is full), each stored, which bounds the shuffle that is on disk at a time.
+A slice sends a row to each shard, with its sums coming back by the slice's number, and its texts' keys once.
+A shard is met by a task for every GROUP_BYTES of text. N-grams that a filter of the table's hashes, of FILTER_BITS
+bits whatever the table's size, shows not to be there stay where they are.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ import re
 from itertools import chain
 
 import numpy as np
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,8 @@ from glyphmill.llm.common import batches_of, discard, file_system, keep, shuffle
 ORDER, BATCHES, SLICE, SHARD_BYTES, TABLE_BITS = 3, 4, 2 << 20, 2 << 20, 4
 #: Text that meets a shard in one task; bits of the filter's size; bytes of the table in a shard.
 GROUP_BYTES, FILTER_BITS, TABLE_SHARD = 32 << 20, 25, 16 << 20
+#: Passes of training; passes of texts if a filter knows more than one in four of all prefixes.
+TRAIN_PASSES, MANY = 4, 8
 #: Bits for the place in a slice; a hash's others order it.
 _PLACE = 22
 _ALONE = "฀-໿က-႟ក-៿⺀-鿿豈-﫿\U00020000-\U0003ffff"
@@ -118,21 +120,35 @@ def _sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else values[:0]
 
 
-COUNTS = ["a", "b", "w", "n"]
+COUNTS = ["a", "b", "w", "size", "n"]
+_KINDS = {"a": np.uint64, "b": np.uint64, "w": np.uint64, "size": np.uint32, "n": np.uint32}
 
 
 def _read(rows) -> list[np.ndarray]:
-    """The packed counts of a few rows, one after the other."""
-    return [np.concatenate([np.frombuffer(v, np.int64 if c == "n" else np.uint64) for v in rows.column(c).to_pylist()]) for c in COUNTS]
+    """The packed counts (a, b, w, n) of a few rows, one after the other; a pair (b, w) is packed once for all its a."""
+    a, b, w, size, n = (np.concatenate([np.frombuffer(v, _KINDS[c]) for v in rows.column(c).to_pylist()]) for c in COUNTS)
+    return [a, np.repeat(b, size), np.repeat(w, size), n.astype(np.int64)]
+
+
+def _pair_shards(b: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
+    return _shards(chained(chained(_SEED(len(b)), b), w), bits)
 
 
 def counted(texts: DataFrame, bits: int) -> DataFrame:
-    """(shard, a, b, w, n), stored: a row a shard of the middle word b, with its runs of three words and how often each occurs, packed and
+    """(shard, a, b, w, size, n), stored: a row a shard of the last two words, with its runs of three words and how often each occurs, packed and
     ordered by b, w and a. Each slice sums its own first."""
-    schema = "shard long, a binary, b binary, w binary, n binary"
+    schema = "shard long, " + ", ".join(f"{c} binary" for c in COUNTS)
 
-    def packed(shard: int, a, b, w, n) -> tuple:
-        return shard, a.tobytes(), b.tobytes(), w.tobytes(), n.tobytes()
+    def packed(rows: list[tuple]):
+        import pyarrow as pa
+
+        out = []
+        for shard, a, b, w, n in rows:
+            pair = _groups(b, w)
+            own = a, b[pair], w[pair], np.diff(np.append(pair, len(b))), n
+            out.append((shard, *(x.astype(_KINDS[c]).tobytes() for c, x in zip(COUNTS, own, strict=True))))
+        columns = list(zip(*out, strict=True)) or [[]] * (1 + len(COUNTS))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["shard", *COUNTS])
 
     def summed(a, b, w, n):
         order = np.lexsort((a, w, b))
@@ -141,24 +157,18 @@ def counted(texts: DataFrame, bits: int) -> DataFrame:
         return a[first], b[first], w[first], _sum(n, first)
 
     def send(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for part in batches_of(batch, SLICE):
                 s, of = _slice(strings(part.column("text")), _HASHES)
                 at = np.flatnonzero(of[2:] == of[:-2]) if len(s) else np.empty(0, np.int64)
-                a, b, w, n = summed(s[at], s[at + 1], s[at + 2], np.ones(len(at), np.int64))
-                shard = _shards(b, bits)
-                ends = np.searchsorted(shard, np.arange((1 << bits) + 1))
-                rows = [packed(k, *(x[i:j] for x in (a, b, w, n))) for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j]
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["shard", *COUNTS])
+                rows = summed(s[at], s[at + 1], s[at + 2], np.ones(len(at), np.int64))
+                shard = _pair_shards(rows[1], rows[2], bits)
+                order = np.argsort(shard, kind="stable")
+                ends = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+                yield packed([(k, *(x[order[i:j]] for x in rows)) for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if i < j])
 
     def merge(rows):
-        import pyarrow as pa
-
-        one = packed(rows.column("shard")[0].as_py(), *summed(*_read(rows)))
-        return pa.RecordBatch.from_arrays([pa.array([one[0]], pa.int64()), *(pa.array([v], pa.binary()) for v in one[1:])], names=["shard", *COUNTS])
+        return packed([(rows.column("shard")[0].as_py(), *summed(*_read(rows)))])
 
     return by_shard(texts.select("text").mapInArrow(send, schema), merge, schema, name="trigrams")
 
@@ -190,71 +200,146 @@ def by_shard(rows: DataFrame, merge, schema: str, key: str = "shard", name: str
     return store(dealt, name, run, schema) if name else dealt.mapInArrow(run, schema)
 
 
-def _of_counts(counts: DataFrame) -> tuple[DataFrame, dict]:
-    """What the counts of a shard say of lower orders: (shard, w, n): in how many pairs of the shard a word is second; and the numbers
-    of n-grams of orders 2 and 3 that occur 1 to 4 times."""
+def _of_counts(counts: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """What the counts of shards say of lower orders: (shard, w, n): in how many pairs of the shard a word is second; (shard, w, total, n1, n2, n3): of the
+    pairs in which a word is first, the words before them, and how many pairs have 1, 2, and 3 or more of those; and the numbers
+    of n-grams of orders 2 and 3 that occur 1 to 4 times, with those of order 3 at all (0 times)."""
 
-    def seconds(batches):
+    def rows_of(row, words, *columns):
         import pyarrow as pa
 
+        names = ["shard", "w", "n"] if len(columns) == 1 else ["shard", "w", "total", "n1", "n2", "n3"]
+        shard = np.full(len(words), row.column("shard")[0].as_py(), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(words.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in columns)], names=names)
+
+    def pairs_of(row):
+        """(b, w, the number of words before) of each pair."""
+        return [np.frombuffer(row.column(c)[0].as_buffer(), _KINDS[c]) for c in ("b", "w", "size")]
+
+    def seconds(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                _, b, w, _ = _read(row)
-                own, n = np.unique(w[_groups(b, w)], return_counts=True)
-                shard = np.full(len(own), row.column("shard")[0].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "w", "n"])
+                yield rows_of(row, *np.unique(pairs_of(row)[1], return_counts=True))
+
+    def firsts(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                b, _, size = pairs_of(row)
+                own = _groups(b)
+                yield rows_of(row, b[own], *(_sum(x.astype(np.int64), own) for x in (size, size == 1, size == 2, size >= 3)))
 
     def few(batches):
         import pyarrow as pa
 
         for batch in batches:
             for k in range(batch.num_rows):
-                _, b, w, n = _read(batch.slice(k, 1))
-                first = _groups(b, w)
-                two = np.diff(np.append(first, len(b)))
-                rows = [(order, times, int((c == times).sum())) for order, c in ((2, two), (3, n)) for times in (1, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["k", "times", "m"])
+                row = batch.slice(k, 1)
+                n = np.frombuffer(row.column("n")[0].as_buffer(), np.uint32)
+                rows = [(order, times, int((c == times).sum())) for order, c in ((2, pairs_of(row)[2]), (3, n)) for times in (1, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, (3, 0, len(n)), strict=True)], names=["k", "times", "m"])
 
-    found = counts.mapInArrow(few, "k long, times long, m long").groupBy("k", "times").agg(F.sum("m").alias("m")).collect()
-    return counts.mapInArrow(seconds, "shard long, w long, n long"), {(r["k"], r["times"]): r["m"] for r in found}
+    found = counts.select("shard", "b", "w", "size", "n").mapInArrow(few, "k long, times long, m long").groupBy("k", "times").agg(F.sum("m").alias("m")).collect()
+    pairs = counts.select("shard", "b", "w", "size")
+    first = pairs.mapInArrow(firsts, "shard long, w long, total long, n1 long, n2 long, n3 long")
+    return pairs.mapInArrow(seconds, "shard long, w long, n long"), first, {(r["k"], r["times"]): r["m"] for r in found}
 
 
-def _values(two: tuple, three: tuple):
-    """Rows of a shard, its counts and the words' own probabilities there -> rows of TABLE of its n-grams and contexts."""
+def _taken(n: np.ndarray, d: tuple) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(n, 3)]
 
-    def taken(n: np.ndarray, d: tuple) -> np.ndarray:
-        return np.array([0.0, *d])[np.minimum(n, 3)]
 
-    def run(rows):
-        counts = rows.filter(pc.is_valid(rows.column("a")))
-        a, b, w, n = _read(counts)
-        chances = rows.filter(pc.is_null(rows.column("a")))
-        known, p1 = (np.concatenate([np.frombuffer(v, kind) for v in chances.column(c).to_pylist()]) for c, kind in (("w", np.uint64), ("p", np.float64)))
-        order = np.argsort(known)
-        known, p1 = known[order], p1[order]
+FOLLOWERS = "shard long, context binary, hash binary, n binary, q binary, hashes binary, values binary"
+
+
+def by_file(table: DataFrame):
+    """A function that reads columns of a shard of a stored table, within a task, from the shared folder: an Arrow table."""
+    files: dict[int, list[str]] = {}
+    for r in table.select("shard", F.input_file_name().alias("file")).distinct().collect():
+        files.setdefault(r["shard"], []).append(r["file"])
+
+    def read(shard: int, columns: list[str]):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        rows = []
+        for file in files.get(shard, []):
+            fs, where = file_system(file)
+            rows.append(pq.read_table(where, filesystem=fs, filters=[("shard", "=", shard)], columns=columns))
+        return pa.concat_tables(rows) if rows else pa.table({c: pa.array([], pa.binary()) for c in columns})
+
+    return read
+
+
+def _followers(counts: DataFrame, chances, contexts, d2: tuple, part: int, of: int, bits: int) -> DataFrame:
+    """FOLLOWERS of one of a number of passes: of each run of three words, the hashes of its context and of itself, its count and what the pair of its last two
+    words gives, by shards of the context's hash; and those pairs' own rows of the table, by shards of their hash.
+
+    chances, contexts: read what the words of a shard have as second and as first words of pairs."""
+    schema = FOLLOWERS
+
+    def send(row):
+        import pyarrow as pa
+
+        a, b, w, n = _read(row)
+        shard = row.column("shard")[0].as_py()
+
+        def told(of, *columns: str):
+            own = of(shard, ["w", *columns])
+            got = [np.concatenate([np.frombuffer(v, np.uint64 if c == "w" else np.float64) for v in own.column(c).to_pylist()]) for c in ("w", *columns)]
+            order = np.argsort(got[0])
+            return [x[order] for x in got]
+
         pair = _groups(b, w)
         n2, b2, w2 = np.diff(np.append(pair, len(b))), b[pair], w[pair]
-        own = _groups(b2)
-        size = np.diff(np.append(own, len(b2)))
-        t2 = taken(n2, two)
-        total = _sum(n2, own)
-        gamma = _sum(t2, own) / total
-        q = p1[np.searchsorted(known, w2)]
-        p2 = np.repeat(1 / total, size) * (n2 - t2) + np.repeat(gamma, size) * q
-        out = [(chained(_SEED(len(own)), b2[own]), np.log(gamma)), (chained(chained(_SEED(len(b2)), b2), w2), np.log(p2 / q / np.repeat(gamma, size)))]
-        q3 = np.repeat(p2, n2)
-        order = np.lexsort((a, b))
-        a, b, w, n, q3 = a[order], b[order], w[order], n[order], q3[order]
-        own = _groups(b, a)
-        size = np.diff(np.append(own, len(b)))
-        t3 = taken(n, three)
-        total = _sum(n, own)
-        gamma = _sum(t3, own) / total
-        p3 = np.repeat(1 / total, size) * (n - t3) + np.repeat(gamma, size) * q3
+        second, p1 = told(chances, "p")
+        first, total, gamma = told(contexts, "total", "gamma")
+        q, at = p1[np.searchsorted(second, w2)], np.searchsorted(first, b2)
+        p2 = (n2 - _taken(n2, d2)) / total[at] + gamma[at] * q
+        hashes, values = chained(chained(_SEED(len(b2)), b2), w2), np.log(p2 / q / gamma[at])
+        own = (hashes % np.uint64(of)).astype(np.int64) == part
+        hashes, values = hashes[own], values[own]
         context = chained(chained(_SEED(len(a)), a), b)
-        out += [(context[own], np.log(gamma)), (chained(context, w), np.log(p3 / q3 / np.repeat(gamma, size)))]
-        return _packed(np.concatenate([h for h, _ in out]), np.concatenate([v for _, v in out]), TABLE_BITS)
+        own = (context % np.uint64(of)).astype(np.int64) == part
+        context, w, n, q3 = context[own], w[own], n[own], np.repeat(p2, n2)[own]
+        order, mine = np.argsort(context), np.argsort(hashes)
+        context, hashes = context[order], hashes[mine]
+        columns = context, chained(context, w[order]), n[order].astype(np.uint32), q3[order], hashes, values[mine]
+        shards = np.arange((1 << bits) + 1)
+        ends, ends2 = np.searchsorted(_shards(context, bits), shards), np.searchsorted(_shards(hashes, bits), shards)
+        rows = [
+            (k, *(x[i:j].tobytes() for x in columns[:4]), *(x[l:m].tobytes() for x in columns[4:]))
+            for k, (i, j, l, m) in enumerate(zip(ends, ends[1:], ends2, ends2[1:], strict=False)) if i < j or l < m
+        ]
+        out = list(zip(*rows, strict=True)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=[c.split()[0] for c in schema.split(", ")])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield send(batch.slice(k, 1))
+        trim()
+
+    return counts.mapInArrow(run, schema)
+
+
+def _contexts(d3: tuple, bits: int):
+    """All FOLLOWERS of a shard -> rows of TABLE of its contexts, runs of three words, and pairs."""
+
+    def run(rows):
+        kinds = {"context": np.uint64, "hash": np.uint64, "n": np.uint32, "q": np.float64}
+        # Single words have no followers here.
+        context, h, n, q = (np.concatenate([np.empty(0, t), *(np.frombuffer(v, t) for v in rows.column(c).to_pylist() if v is not None)]) for c, t in kinds.items())
+        order = np.argsort(context)
+        context, h, n, q = context[order], h[order], n[order].astype(np.int64), q[order]
+        own = _groups(context)
+        size = np.diff(np.append(own, len(context)))
+        taken, total = _taken(n, d3), _sum(n, own)
+        gamma = _sum(taken, own) / total
+        p3 = np.repeat(1 / total, size) * (n - taken) + np.repeat(gamma, size) * q
+        hashes, values = _unpacked(rows)
+        return _packed(np.concatenate([hashes, context[own], h]), np.concatenate([values, np.log(gamma), np.log(p3 / q / np.repeat(gamma, size))]), bits)
 
     return run
 
@@ -281,45 +366,41 @@ def _unpacked(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.uint64), *parts[0]]), np.concatenate([np.empty(0), *parts[1]])
 
 
-def _merged(rows):
+def _merged(bits: int):
     """All rows of a shard of the table as one."""
-    return _packed(*_unpacked(rows), TABLE_BITS)
-
-
-def split(table: DataFrame, bits: int) -> DataFrame:
-    """The stored table, dealt to finer shards if bits are more than it has."""
-
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield _packed(*_unpacked(batch.slice(k, 1)), bits)
-
-    return table if bits == TABLE_BITS else store(table, "ngram-shards", run, TABLE)
+    return lambda rows: _packed(*_unpacked(rows), bits)
 
 
 def table_bits(table: DataFrame) -> int:
-    """Bits of hashes that deal the table to shards of about TABLE_SHARD bytes; the table is as large as what trains, which has a bound."""
-    size = table.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
-    return max(TABLE_BITS, int(2 * size // TABLE_SHARD).bit_length())
+    """Bits of hashes that deal the table to its shards; a table that has more than the least number of shards has rows in all of them."""
+    return max(TABLE_BITS, int(table.agg(F.max("shard")).first()[0] or 0).bit_length())
 
 
 def known_filter(table: DataFrame) -> bytes:
     """A bit for each prefix of FILTER_BITS bits of a hash: whether a hash of the table begins so. Each shard has its own stretch of it."""
-    stretch = (1 << FILTER_BITS - TABLE_BITS) >> 3
+    bits = table_bits(table)
+    stretch = (1 << FILTER_BITS - bits) >> 3
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for k in range(batch.num_rows):
-                at = (_unpacked(batch.slice(k, 1))[0] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                at = (np.frombuffer(batch.column("hashes")[k].as_buffer(), np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 own = np.zeros(8 * stretch, bool)
                 own[at & (8 * stretch - 1)] = True
                 packed = np.packbits(own, bitorder="little").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("shard").slice(k, 1), pa.array([packed], pa.binary())], names=["shard", "bits"])
 
-    found = {r["shard"]: bytes(r["bits"]) for r in table.mapInArrow(run, "shard long, bits binary").collect()}
-    return b"".join(found.get(k, bytes(stretch)) for k in range(1 << TABLE_BITS))
+    def ored(rows):
+        import pyarrow as pa
+
+        every = np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in rows.column("bits").to_pylist()])
+        return pa.RecordBatch.from_arrays([pa.array([rows.column("shard")[0].as_py()], pa.int64()), pa.array([every.tobytes()], pa.binary())], names=["shard", "bits"])
+
+    schema = "shard long, bits binary"
+    found = {r["shard"]: bytes(r["bits"]) for r in by_shard(table.select("shard", "hashes").mapInArrow(run, schema), ored, schema).collect()}
+    return b"".join(found.get(k, bytes(stretch)) for k in range(1 << bits))
 
 
 def _SEED(n: int) -> np.ndarray:
@@ -329,46 +410,72 @@ def _SEED(n: int) -> np.ndarray:
 def train(texts: DataFrame) -> tuple[DataFrame, float]:
     """The table (hash, value), packed in shards of hashes, and the log probability of a word that was never seen (base).
 
-    All that the n-grams of three and two words need lies with their middle or first word's shard, but for the words' own
-    probabilities, which are joined to the shards that have them."""
+    A pair's shard knows the words before it; what its first and second word have in all shards is joined to the shards that have them."""
+    return trained(counted(texts, shard_bits(texts)))
+
+
+def trained(counts: DataFrame) -> tuple[DataFrame, float]:
+    """``train`` by stored counts of the texts, which go when the table is there."""
     from glyphmill.llm.kneser_ney import discounts
 
-    counts = counted(texts, shard_bits(texts))
-    pairs, few = _of_counts(counts)
-    pairs = keep(pairs)
+    pairs, opened, few = _of_counts(counts)
+    pairs, opened = keep(pairs), keep(opened)
     one = keep(pairs.groupBy("w").agg(F.sum("n").alias("n")))
     stats = one.agg(F.count("*").alias("v"), F.sum("n").alias("total"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
     if not stats["v"]:
-        return texts.sparkSession.createDataFrame([], TABLE), 0.0
+        return counts.sparkSession.createDataFrame([], TABLE), 0.0
     d1 = discounts([stats[f"n{k}"] for k in (1, 2, 3, 4)])
     d2, d3 = (discounts([few.get((order, k), 0) for k in (1, 2, 3, 4)]) for order in (2, 3))
     taken = F.when(F.col("n") == 1, d1[0]).when(F.col("n") == 2, d1[1]).otherwise(d1[2])
     gamma = one.agg(F.sum(taken)).first()[0] / stats["total"]
     unseen = gamma / (stats["v"] + 1)
     p1 = one.select("w", ((F.col("n") - taken) / stats["total"] + F.lit(unseen)).alias("p"))
-    def chances(batches):
-        import pyarrow as pa
+    weight = sum(F.col(f"n{k}") * d for k, d in enumerate(d2, 1)) / F.col("total")
+    begun = keep(opened.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3")]).select("w", F.col("total").cast("double").alias("total"), weight.alias("gamma")))
 
-        for batch in batches:
-            shard, w, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "w", "p"))
-            order = np.argsort(shard, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
-                yield pa.RecordBatch.from_arrays([pa.array([shard[at[0]]], pa.int64()), pa.array([w[at].tobytes()], pa.binary()), pa.array([p[at].tobytes()], pa.binary())], names=["shard", "w", "p"])
+    def by_words(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+        """Rows (shard, w, columns), packed as a row a shard and stored."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                shard, *held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "w", *columns))
+                order = np.argsort(shard, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([shard[at[0]]], pa.int64()), *(pa.array([x[at].tobytes()], pa.binary()) for x in held)], names=["shard", "w", *columns])
+
+        def together(rows):
+            import pyarrow as pa
 
-    wanted = pairs.select("shard", "w").join(p1, "w").mapInArrow(chances, "shard long, w binary, p binary")
-    both = counts.unionByName(wanted, allowMissingColumns=True)
-    upper = by_shard(both, _values(d2, d3), TABLE)
+            return pa.RecordBatch.from_arrays([rows.column("shard").chunk(0).slice(0, 1), *(pa.array([b"".join(rows.column(c).to_pylist())], pa.binary()) for c in ("w", *columns))], names=["shard", "w", *columns])
+
+        schema = ", ".join(["shard long", *(f"{c} binary" for c in ("w", *columns))])
+        return by_shard(rows.select("shard", "w", *columns).mapInArrow(run, schema), together, schema, name=name)
 
     def words(batches):
         for batch in batches:
-            w = batch.column("w").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield _packed(chained(_SEED(len(w)), w), np.log(batch.column("p").to_numpy(zero_copy_only=False) / unseen), TABLE_BITS)
-
-    lower = p1.mapInArrow(words, TABLE)
-    table = by_shard(upper.unionByName(lower), _merged, TABLE, name="ngram-values")
-    for kept in (pairs, one):
-        kept.unpersist()
-    discard(counts)
+            w, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("w", "value"))
+            yield _packed(chained(_SEED(len(w)), w.view(np.uint64)), value, bits)
+
+    bits = max(TABLE_BITS, int(16 * 2 * few[3, 0] // TABLE_SHARD).bit_length())
+    chances = by_words(pairs.select("shard", "w").join(p1, "w"), ["p"], "chances")
+    contexts = by_words(opened.select("shard", "w").join(begun, "w"), ["total", "gamma"], "contexts")
+    pairs.unpersist(), opened.unpersist()
+    told = by_file(chances), by_file(contexts)
+    single = p1.select("w", F.log(F.col("p") / unseen).alias("value")).unionByName(begun.select("w", F.log("gamma").alias("value")))
+    # Both of a word's values are of one hash, and are summed where its shard is put together.
+    lower, table = single.groupBy("w").agg(F.sum("value").alias("value")).mapInArrow(words, TABLE), None
+    for k in range(TRAIN_PASSES):
+        rows = _followers(counts, *told, d2, k, TRAIN_PASSES, bits)
+        rows = rows.unionByName(lower, allowMissingColumns=True) if k == 0 else rows
+        # Runs of three words go on to the shards of their own hashes, so that a file has few shards, and a shard is in one file of a pass.
+        part = by_shard(by_shard(rows, _contexts(d3, bits), TABLE), _merged(bits), TABLE, name="ngram-values")
+        table = part if table is None else table.unionByName(part)
+        if k == 0:
+            one.unpersist(), begun.unpersist()
+    for stored in (counts, chances, contexts):
+        discard(stored)
     return table, float(np.log(unseen))
 
 
@@ -432,19 +539,12 @@ MET = "slice long, keys binary, words binary, texts binary, value binary"
 def meet(sent: DataFrame, table: DataFrame, copies: int, tasks: int) -> DataFrame:
     """MET: what the texts of a slice get from a shard: the texts that get anything, by their places in the slice, and how much. The
     texts' rows are shuffled to their shard; its part of the table is read from the shared folder, where it was stored by shards, so it isn't shuffled."""
-    files: dict[int, list[str]] = {}
-    for r in table.select("shard", F.input_file_name().alias("file")).collect():
-        files.setdefault(r["shard"], []).append(r["file"])
+    rows_of = by_file(table)
 
     def loaded(shard: int) -> tuple[np.ndarray, np.ndarray]:
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
-        rows = []
-        for file in files.get(shard, []):
-            fs, where = file_system(file)
-            rows.append(pq.read_table(where, filesystem=fs, filters=[("shard", "=", shard)], columns=["hashes", "values"]))
-        return _unpacked(pa.concat_tables(rows)) if rows else (np.empty(0, np.uint64), np.empty(0))
+        known, values = _unpacked(rows_of(shard, ["hashes", "values"]))
+        order = np.argsort(known)  # passes of training are one after the other
+        return known[order], values[order]
 
     def run(batches):
         import pyarrow as pa
@@ -489,15 +589,16 @@ def _gathered(rows):
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(value), pa.array(words)], names=["key", "value", "words"])
 
 
-def perplexities(texts: DataFrame, table: DataFrame, base: float, batches: int = BATCHES) -> DataFrame:
+def perplexities(texts: DataFrame, table: DataFrame, base: float, batches: int | None = None) -> DataFrame:
     """texts (key, text), where equal keys have equal texts: (key, perplexity per word), null for a text without words."""
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits, known = table_bits(table), texts.sparkSession.sparkContext.broadcast(known_filter(table))
-    shards = split(table, bits)
+    told = known_filter(table)
+    bits, known = table_bits(table), texts.sparkSession.sparkContext.broadcast(told)
+    batches = batches or (MANY if np.bitwise_count(np.frombuffer(told, np.uint8)).sum() > 2 * len(told) else BATCHES)
     copies = max(1, -(-size // batches // (GROUP_BYTES << bits)))
     tasks, done = max(shuffle_partitions(texts.sparkSession), copies << bits), None
     for k in range(batches):
-        met = meet(dealt(texts.filter(F.pmod("key", F.lit(batches)) == k), bits, copies, known), shards, copies, tasks)
+        met = meet(dealt(texts.filter(F.pmod("key", F.lit(batches)) == k), bits, copies, known), table, copies, tasks)
         met = by_shard(met, _gathered, "key long, value double, words long", "slice")
         # Equal texts add up in both sums.
         sums = met.groupBy("key").agg(F.sum("value").alias("value"), F.sum("words").alias("words"))

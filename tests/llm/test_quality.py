@@ -1,6 +1,7 @@
 """The quality classifier: its word model against the definition, and what it keeps."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -123,3 +124,38 @@ def test_copies_of_shards_and_passes_change_nothing(spark, monkeypatch):
     got = {r.key: r.perplexity for r in word_ngrams.perplexities(frame_, table, base, 3).collect()}
     assert len(want) == 400 and got.keys() == want.keys()
     assert all((got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, rel=1e-12)) for k, v in want.items())
+
+
+def test_all_trusted_documents_train(spark):
+    n = 12_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    held = {r.doc_id for r in kneser_ney.held_out(kneser_ney.trusted_ids(labels), True).collect()}
+    assert {r.doc_id for r in kneser_ney.trusted_texts(docs, labels).collect()} == set(range(n)) - held and n - len(held) > 9000
+
+
+def test_a_frequent_word_lies_in_many_shards(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = frame(spark, [" . ".join(words[k:] + words[:k]) for k in range(20)])
+    counts = word_ngrams.counted(texts, 5)
+    shards = {r.shard: np.frombuffer(r.b, np.uint64) for r in counts.select("shard", "b").collect()}
+    dot = word_ngrams._HASHES["."]
+    assert sum(dot in b for b in shards.values()) == len(shards) == 32
+
+
+def test_filters_of_all_passes_and_shards(spark, monkeypatch):
+    texts = frame(spark, [" ".join(f"w{k * j % 997}" for j in range(300)) for k in range(1, 40)])
+    want, base = word_ngrams.train(texts)
+    monkeypatch.setattr(word_ngrams, "TABLE_SHARD", 16 << 10)
+    got, other = word_ngrams.train(texts)
+    assert base == other and word_ngrams.table_bits(want) == 4 and word_ngrams.table_bits(got) > 4
+
+    def values(table):
+        rows = table.collect()
+        assert max(Counter(r["shard"] for r in rows).values()) <= word_ngrams.TRAIN_PASSES  # a row a shard and pass
+        h, v = (np.concatenate([np.frombuffer(bytes(r[c]), t) for r in rows]) for c, t in (("hashes", np.uint64), ("values", np.float64)))
+        assert len(np.unique(h)) == len(h)
+        return dict(zip(h.tolist(), v.tolist()))
+
+    assert values(want) == pytest.approx(values(got), rel=1e-12)
+    assert word_ngrams.known_filter(want) == word_ngrams.known_filter(got)
