@@ -108,7 +108,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = word_ngrams.counted(texts, word_ngrams.shard_bits(texts))
     discard(texts)
     table, base = word_ngrams.trained(counts)
-    return word_ngrams.perplexities(docs.select(F.xxhash64(text_or_empty(docs)).alias("key"), text_or_empty(docs).alias("text")), table, base)
+    scores = word_ngrams.perplexities(docs.select(F.xxhash64(text_or_empty(docs)).alias("key"), text_or_empty(docs).alias("text")), table, base)
+    discard(table)  # it is larger than the texts that follow, and scores are stored
+    return scores
 
 
 def _with_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:

@@ -159,3 +159,11 @@ def test_filters_of_all_passes_and_shards(spark, monkeypatch):
 
     assert values(want) == pytest.approx(values(got), rel=1e-12)
     assert word_ngrams.known_filter(want) == word_ngrams.known_filter(got)
+
+
+def test_the_table_goes_when_texts_are_scored(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a b w{k % 7} c", "en") for k in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    gone, discard = [], kneser_ney.discard
+    monkeypatch.setattr(kneser_ney, "discard", lambda t: (gone.append(t.columns), discard(t)))
+    assert kneser_ney.keep_good(docs, labels).count() > 30 and ["shard", "hashes", "values"] in gone
