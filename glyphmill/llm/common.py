@@ -55,7 +55,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store(df: DataFrame, name: str, through: Callable[[Iterator], Iterator] | None = None, schema: str | None = None) -> DataFrame:
+def store(df: DataFrame, name: str, through: Callable[[Iterator], Iterator] | None = None, schema: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write df, an operator's own table of plain types, as Parquet files in the shared folder and return the table. What goes
     through a function of Arrow batches (to the schema) is written by the same Python worker.
 
@@ -77,7 +77,7 @@ def store(df: DataFrame, name: str, through: Callable[[Iterator], Iterator] | No
                     fs, where = file_system(file)
                     fs.create_dir(os.path.dirname(where), recursive=True)
                     out = fs.open_output_stream(where)
-                    writer = pq.ParquetWriter(out, batch.schema)
+                    writer = pq.ParquetWriter(out, batch.schema, compression=compression)
                 writer.write_batch(batch)
         if writer is not None:
             writer.close()

@@ -6,8 +6,8 @@ documents that labels mark as good and not toxic.
 * Training: on all trusted documents but those held out; n-grams are counted per
   slice, summed in shards of their last two words, and the orders below count distinct left extensions. The three discounts of each order come from its counts of
   counts, probabilities from joins with the totals of contexts and the next lower order.
-* Scoring: the n-grams of all texts are joined with the table in shards of hashes and
-  added up per text, which gives the perplexity per word.
+* Scoring: the n-grams of all texts are joined with one part of the table after the other, in
+  shards of hashes, and added up per text, which gives the perplexity per word.
 * Decision: one trusted document in FOLDS is kept out of training. A document goes if its
   perplexity is over the quantile HIGH of those and of all trusted ones, or under the quantile
   LOW of all trusted ones, in its language. At all sizes the logs of a language's limits are weighted by its n
@@ -107,10 +107,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = store(trusted_texts(docs, labels), "trusted")
     counts = word_ngrams.counted(texts, word_ngrams.shard_bits(texts))
     discard(texts)
-    table, base = word_ngrams.trained(counts)
-    scores = word_ngrams.perplexities(docs.select(F.xxhash64(text_or_empty(docs)).alias("key"), text_or_empty(docs).alias("text")), table, base)
-    discard(table)  # it is larger than the texts that follow, and scores are stored
-    return scores
+    rows = docs.select(F.xxhash64(text_or_empty(docs)).alias("key"), text_or_empty(docs).alias("text"))
+    base, tables = word_ngrams.tables(counts)
+    sums, size = [], word_ngrams.length(rows)
+    for k, table in enumerate(tables):
+        sums.append(word_ngrams.sums(rows, size, table, k, word_ngrams.TRAIN_PASSES))
+        discard(table)  # all parts are larger than the texts
+    return word_ngrams.perplexity(sums, base)
 
 
 def _with_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:

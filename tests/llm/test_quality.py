@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -167,3 +168,48 @@ def test_the_table_goes_when_texts_are_scored(spark, monkeypatch):
     gone, discard = [], kneser_ney.discard
     monkeypatch.setattr(kneser_ney, "discard", lambda t: (gone.append(t.columns), discard(t)))
     assert kneser_ney.keep_good(docs, labels).count() > 30 and ["shard", "hashes", "values"] in gone
+
+
+def test_one_part_of_the_table_is_there_at_a_time(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice("abcdefgh") for _ in range(30)), "en") for k in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    there, most, stored, discard = [], [], word_ngrams.store, kneser_ney.discard
+
+    def store(df, name, *more):
+        there.extend([name] * (name == "ngram-values"))
+        most.append(len(there))
+        return stored(df, name, *more)
+
+    def gone(table):
+        del there[: len({f.rsplit("/", 2)[1] for f in table.inputFiles()})]
+        discard(table)
+
+    table, base = word_ngrams.train(kneser_ney.trusted_texts(docs, labels))
+    keyed = docs.select(F.xxhash64("text").alias("key"), "text")
+    want = {r.key: r.perplexity for r in word_ngrams.perplexities(keyed, table, base).collect()}
+    monkeypatch.setattr(word_ngrams, "store", store)
+    monkeypatch.setattr(kneser_ney, "discard", lambda t: gone(t) if "hashes" in t.columns else discard(t))
+    got = {r.key: r.perplexity for r in kneser_ney.scored(docs, labels).collect()}
+    assert max(most) == 1 and not there and len(got) == 60 and got == pytest.approx(want, rel=1e-12)
+
+
+def test_counts_take_few_bytes(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    counts = word_ngrams.counted(frame(spark, [" ".join(rng.choice(words) for _ in range(500)) for _ in range(60)]), 3)
+    rows = counts.collect()
+    held = sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray)))
+    runs = sum(int(np.frombuffer(bytes(r["size"]), np.uint32).sum()) for r in rows)
+    assert runs > 25_000 and held < 16 * runs
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(14)
+    letters = [*"abZ09_ \n\t.,!?éüß語กက слово'\"-\x00\x1c", "\u3000", "\u00a0", "\u2028", "\U00020000", "😀"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 50]))) for _ in range(rng.randint(0, 6))]
+        found = [word_ngrams.WORD.findall(t) for t in texts]
+        words, of = word_ngrams._slice(texts)
+        want = [[word_ngrams.START] * 2 + [word_ngrams._HASHES[w] for w in f] + [word_ngrams.END] if f else [] for f in found]
+        assert words.tolist() == list(chain.from_iterable(want)) and of.tolist() == [k for k, w in enumerate(want) for _ in w]
