@@ -2,7 +2,8 @@
 
 Each attempt of a task writes whole files to a folder of its own, under ``_attempts`` of this write. On commit, the folders that successful
 attempts report are moved in place, so what failed, lost or repeated attempts wrote is never seen; then the write's marker
-``_SUCCESS-<write>`` is put, and its attempts are removed. On abort they are removed alone.
+``_SUCCESS-<write>`` is put, and its attempts are removed. On abort they are removed alone; the driver makes their folder before tasks run and moves
+it away first, so that a task that still writes, or begins late, finds no place and leaves nothing.
 
 Edges: a null site or payload is left out; of rows of one site one stays; a site's file that is there already is replaced; names of files
 are percent-encoded; an empty table leaves the marker alone.
@@ -50,7 +51,10 @@ class SiteReports(DataSource):
 
 class SiteReportsWriter(DataSourceWriter):
     def __init__(self, path: str, write: str):
+        """In the driver; tasks get a copy."""
         self._path, self._write = path.rstrip("/"), write
+        fs, folder = _file_system(self._attempts())
+        fs.create_dir(folder, recursive=True)
 
     def _attempts(self) -> str:
         return f"{self._path}/_attempts/{self._write}"
@@ -58,7 +62,7 @@ class SiteReportsWriter(DataSourceWriter):
     def write(self, iterator) -> Attempt:
         folder, n = uuid.uuid4().hex, 0
         fs, base = _file_system(f"{self._attempts()}/{folder}")
-        fs.create_dir(base, recursive=True)
+        fs.create_dir(base, recursive=False)
         for row in iterator:
             if row["site_id"] is not None and row["payload"] is not None:
                 with fs.open_output_stream(f"{base}/{quote(row['site_id'], safe='')}.json") as out:
@@ -90,7 +94,12 @@ class SiteReportsWriter(DataSourceWriter):
         from pyarrow.fs import FileType
 
         if fs.get_file_info(folder).type == FileType.Directory:
-            fs.delete_dir(folder)
+            gone = f"{folder}-gone"
+            try:
+                fs.move(folder, gone)
+            except (OSError, NotImplementedError):  # stores without folders can't move them, nor do new files keep one there from going
+                gone = folder
+            fs.delete_dir(gone)
 
 
 def write_site_reports(reports: DataFrame, path: str, mode: str = "live") -> None:

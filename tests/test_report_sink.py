@@ -50,3 +50,18 @@ def test_attempts_that_repeat_count_once(tmp_path):
 def test_an_empty_table(spark, tmp_path):
     report_sink.write_site_reports(spark.createDataFrame([], "site_id string, score double"), str(tmp_path / "o"))
     assert names(tmp_path / "o") == []
+
+
+def test_an_abort_while_tasks_write(tmp_path):
+    writer = report_sink.SiteReportsWriter(str(tmp_path / "o"), "w")
+
+    def rows():
+        yield {"site_id": "a", "payload": "x"}
+        writer.abort([])
+        yield {"site_id": "b", "payload": "x"}
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    with pytest.raises(OSError):
+        writer.write(iter([{"site_id": "late", "payload": "x"}]))
+    assert os.listdir(tmp_path / "o" / "_attempts") == [] and names(tmp_path / "o") == []
